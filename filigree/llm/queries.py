@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from filigree.llm import packing, quality, toxicity
+from filigree.llm import near_dedup, packing, quality, toxicity
 
-MODULES = (packing, quality, toxicity)
+MODULES = (near_dedup, packing, quality, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

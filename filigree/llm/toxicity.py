@@ -118,7 +118,7 @@ def fit_bags(data: pd.DataFrame, *, rounds: int = 150, rate: float = 6.0, moment
     per_doc = np.array([len(s) for s in sizes])
     sizes = np.concatenate(sizes)
     often = np.bincount(features, minlength=DIM)[features] >= least  # rarer features keep weight 0
-    sizes = np.add.reduceat(often, np.cumsum(sizes) - sizes)
+    sizes = np.add.reduceat(often.astype("int64"), np.cumsum(sizes) - sizes)
     features = features[often]
     filled = np.flatnonzero(sizes)
     sent_at = (np.cumsum(sizes) - sizes)[filled]
