@@ -45,8 +45,8 @@ def linked(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> Dat
     linked, yet a bucket's pairs aren't all made: first every member is held against the
     smallest of its bucket; then only buckets that still hold several components go on, with
     eight times as many pivots at each round, against members of other components only.
+    Members that repeat do no harm. If members is already dealt by key, it isn't dealt again.
     """
-    members = members.dropDuplicates(["key", "id"])
     first = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(first, "key").select("key", "id", "pivot"))
     links = written(confirm(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
