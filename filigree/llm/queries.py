@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from filigree.llm import line_dedup, near_dedup, packing, quality, toxicity
+from filigree.llm import line_dedup, near_dedup, packing, quality, substrings, toxicity
 
-MODULES = (line_dedup, near_dedup, packing, quality, toxicity)
+MODULES = (line_dedup, near_dedup, packing, quality, substrings, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
