@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from filigree.llm import decontamination, line_dedup, near_dedup, packing, quality, substrings, toxicity
+from filigree.llm import decontamination, line_dedup, near_dedup, packing, quality, quality_rules, substrings, toxicity, url_filter
 
-MODULES = (decontamination, line_dedup, near_dedup, packing, quality, substrings, toxicity)
+MODULES = (decontamination, line_dedup, near_dedup, packing, quality, quality_rules, substrings, toxicity, url_filter)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
