@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The domain's own word lists. Matching results depend on each entry.
 LEGAL_SUFFIXES = ("INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "LLC", "PLC", "PLLC", "PC")
@@ -118,12 +119,12 @@ def union_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(local, "[^A-Z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_upper(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v or "").upper())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_upper(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKD", v or "").encode("ascii", "ignore").decode().upper())
 
