@@ -214,8 +214,8 @@ def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def candidate_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Score of supplier candidates that share a nation with a customer's first letters, and the rule that accepts the best."""
-    c = table(spark, d, "customer").where("c_custkey <= 200").select("c_custkey", "c_nationkey", t.matcher_name(F.col("c_name")).alias("a"))
+    """Score of supplier candidates that share a customer's nation, and the rule that accepts the best."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", t.matcher_name(F.col("c_name")).alias("a"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), t.matcher_name(F.col("s_name")).alias("b"))
     flags = {"exact_name": F.col("a") == F.col("b"), "exact_address": F.lit(False), "zip_match": F.col("s_suppkey") % 4 == 0, "city_state": F.col("s_suppkey") % 2 == 0, "state_match": F.lit(True), "reported": F.col("s_suppkey") == F.col("c_custkey"), "distinctive": F.lit(False)}
     pairs = c.join(s, "c_nationkey").withColumns({k: v.cast("int") for k, v in flags.items()} | {"ns": ratio("a", "b"), "addr_score": F.lit(0.0), "source_rank": F.lit(10)})
@@ -227,7 +227,7 @@ def candidate_scoring(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def name_search_simple_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Names equal to a phrase in some form first, then similar ones."""
-    wanted = F.lit("ALMOND METAL")
+    wanted = F.lit("OLD GEAR")
     names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).withColumn("norm", t.resolver_name(F.col("p_name")))
     scored = names.withColumn("score", F.when(F.upper("p_name") == wanted, 1.0).when(F.col("norm") == wanted, 0.99).otherwise(ratio(wanted, F.col("norm"))))
     return scored.where("score >= 0.5").select("p_name", "id", "score", F.when(F.col("score") >= 0.97, "SIMPLE").otherwise("FUZZY").alias("kind"))
