@@ -59,6 +59,6 @@ def replay_factor(source: DataFrame, copy: DataFrame, keys: Sequence[str]) -> Da
     columns = [c for c in source.columns if c not in keys]
     rows = [*keys, *columns]
     s, c = (df.groupBy(*rows).agg(F.count("*").alias(n)) for df, n in ((source, "n_source"), (copy, "n_copy")))
-    both = s.join(c, rows, "full").withColumn("f", F.try_divide(F.coalesce("n_copy", F.lit(0)), F.coalesce("n_source", F.lit(0))))
-    out = both.groupBy(*keys).agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count_if(F.col("f").isNull()).alias("odd"))
+    both = s.join(c, rows, "full").withColumn("__f", F.try_divide(F.coalesce("n_copy", F.lit(0)), F.coalesce("n_source", F.lit(0))))
+    out = both.groupBy(*keys).agg(F.min("__f").alias("low"), F.max("__f").alias("high"), F.count_if(F.col("__f").isNull()).alias("odd"))
     return out.select(*keys, F.when((F.col("low") == F.col("high")) & (F.col("odd") == 0) & (F.col("low") == F.floor("low")), F.col("low").cast("long")).alias("factor"))
