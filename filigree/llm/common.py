@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids on which nothing is learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0

@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.llm.common import discard, written
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
+@dataclass
+class Verifier:
+    """How pairs of some ids are judged.
+
+    confirm turns pairs (a, b) into those that are links. Where many pairs are expected, `sets`,
+    which gives (id, set) with each id's set as an array of hashes, lets whole blocks of members be
+    compared without making pairs; it is for small sets. For large ones `sketch` gives (id, sketch).
+    """
+
+    confirm: Step
+    sketch: Step | None = None
+    sets: Step | None = None
+
+#: A graph of so many edges at most is worked on in one partition, which needs no shuffles.
+ONE_PARTITION = 300_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of links (a, b), where component is the smallest id reachable.
 
@@ -19,14 +41,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    few = edges.count() <= ONE_PARTITION
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = dealt(edges)
+        both = dealt(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = written(dealt(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct())
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(edges)
         edges = after
@@ -37,34 +65,90 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def linked(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Bits of a sketch, of which two sets of similarity J agree in a share of (1 + J) / 2. A pair is
+#: left out if it agrees in 4.5 standard deviations less than the least similarity would make
+#: likely, which loses one of 300,000 links at that similarity and none well above it.
+SKETCH_LONGS = 64
+
+
+def agree(a: str, b: str, percent: int) -> Column:
+    """True unless the sketches in columns a and b rule out a similarity of percent."""
+    bits, p = 64 * SKETCH_LONGS, (1 + percent / 100) / 2
+    most = int(bits * (1 - p) + 4.5 * (bits * p * (1 - p)) ** 0.5)
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_LONGS))) <= most
+
+
+#: Members of a bucket that are compared with one other at a time.
+BLOCK = 64
+
+
+def compared(now: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (key, id, rank, c, set) of one bucket and of different components c.
+
+    Members outside the bucket's largest component, which has the first ranks, are held against
+    blocks of all that rank before them. b is the component in which the partner was found.
+    """
+    blocks = now.groupBy("key", F.floor((F.col("rank") - 1) / BLOCK).alias("block")).agg(F.collect_list(F.struct("rank", "c", "set")).alias("others"))
+    largest = now.groupBy("key").agg(F.min_by("c", "rank").alias("largest"))
+    rest = now.join(largest, "key").where("c != largest").join(blocks, "key").where(F.col("block") * BLOCK < F.col("rank"))
+
+    def alike(m: Column) -> Column:
+        n, k = F.size("set"), F.size(m["set"])
+        near = (m["rank"] < F.col("rank")) & (m["c"] != F.col("c")) & (100 * F.least(n, k) >= percent * F.greatest(n, k))
+        return near & ((100 + percent) * F.size(F.array_intersect(m["set"], F.col("set"))) >= percent * (n + k))
+
+    return rest.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.transform(F.filter("others", alike), lambda m: m["c"]))).alias("b"))
+
+
+def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, percent: int) -> DataFrame:
     """(id, component) of the ids that a confirmed link reaches.
 
-    members (key, id) says which ids share a bucket; confirm turns pairs (a, b) into those that
-    are links. Any two members of a bucket end in one component or are confirmed not to be
-    linked, yet a bucket's pairs aren't all made: first every member is held against the
-    smallest of its bucket; then only buckets that still hold several components go on, with
-    eight times as many pivots at each round, against members of other components only.
+    members (key, id) says which ids share a bucket; prepare makes a verifier for the ids that do.
+    Any two members of a bucket end in one component or are found not to be linked, yet a
+    bucket's pairs aren't all made: first every member is held against the smallest of its bucket.
+    In buckets that then still hold several components, members of different components are
+    held against each other: in blocks where the verifier has sets. Else a few members of the
+    largest component go first, and a pair is made in the first bucket that it shares only, and
+    not where sketches rule a link out.
     Members that repeat do no harm. If members is already dealt by key, it isn't dealt again.
     """
     first = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(first, "key").select("key", "id", "pivot"))
-    links = written(confirm(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
-    tested = 1
-    found = components(links)
-    while True:
-        labelled = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where(f"c1 != c2 and n > {tested + 1}").select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        ranked = written(labelled.join(mixed, "key").withColumn("rank", rank))
-        if ranked.isEmpty():
-            discard(ranked, shared)
+    verifier = prepare(shared.select("id").distinct())
+    confirm, sketch = verifier.confirm, verifier.sketch
+    found = components(confirm(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """rows (key, id, ...) with their component c, of buckets with several components."""
+        named = rows.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        keys = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2")
+        return named.join(keys.select("key"), "key")
+
+    size = F.count("*").over(Window.partitionBy("key", "c"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "c", "id"))
+    ranked = written(mixed(shared.select("key", "id")).withColumn("size", size).withColumn("rank", rank).select("key", "id", "rank"))
+    discard(shared)
+    if ranked.isEmpty():
+        return found
+    if verifier.sets is not None:
+        more = compared(mixed(ranked).join(verifier.sets(ranked.select("id").distinct()), "id"), percent)
+        return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    about = ranked.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # as many as there are bands
+    if sketch is not None:
+        about = about.join(sketch(ranked.select("id").distinct()), "id")
+    about = written(about)
+    for low, high in ((0, 16), (16, 2**31 - 1)):
+        now = written(mixed(ranked).join(about, "id"))
+        if now.isEmpty():
             return found
-        pivots = ranked.where((F.col("rank") > tested) & (F.col("rank") <= 8 * tested)).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.join(pivots, "key").where("rank > ra and c != ca").select("a", F.col("id").alias("b")).distinct()
+        pivots = now.where((F.col("rank") > low) & (F.col("rank") <= high)).select(*(F.col(c).alias(f"{c}_a") if c != "key" else F.col(c) for c in now.columns))
+        tested = (F.col("rank") > F.col("rank_a")) & (F.col("c") != F.col("c_a"))
+        if sketch is not None:
+            tested = tested & agree("sketch", "sketch_a", percent)
+        tested = tested & (F.array_min(F.array_intersect("keys", "keys_a")) == now["key"])
+        pairs = now.join(pivots, "key").where(tested).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
         more = written(confirm(pairs))
-        tested *= 8
+        discard(now)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        discard(ranked)
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return found

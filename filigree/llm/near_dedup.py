@@ -9,7 +9,7 @@ representatives that share a band are candidates, confirmed on the full shingle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.common import table, written
-from filigree.llm.components import linked
+from filigree.llm.common import discard, table, written
+from filigree.llm.components import SKETCH_LONGS, Verifier, linked
 
 #: A pair at the least similarity of 0.8 is missed by all bands with chance
 #: (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -81,8 +81,9 @@ def super_minhash(elements: np.ndarray, counts: np.ndarray, places: int) -> np.n
     return sig.reshape(n, places)
 
 
-def signatures(sets: list[np.ndarray], places: int, block: int = 16_384) -> np.ndarray:
+def signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     """Signatures of many sets, a bounded number of elements at a time; the union's is the minimum of its parts'."""
+    block = max(256, 2_600_000 // places)
     out = np.full((len(sets), places), NONE)
     parts = [(i, s[a : a + block]) for i, s in enumerate(sets) for a in range(0, len(s), block)]
     parts.sort(key=lambda p: len(p[1]))
@@ -127,8 +128,8 @@ def signed(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>")
 
 
-def confirmed(texts: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """A function from pairs (a, b) to those whose full sets share percent of their union or more."""
+def confirmed(docs: DataFrame, *, width: int, percent: int) -> Callable[[DataFrame], Verifier]:
+    """A verifier that compares full shingle sets; its sketches are a bit of each place of a long signature."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, recent = WordHashes(), {}
@@ -150,12 +151,29 @@ def confirmed(texts: DataFrame, *, width: int, percent: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pdf.loc[keep, ["a", "b"]]
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long").distinct()
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                sig = signatures([shingle_set(t, width, words) for t in part["text"]], 64 * SKETCH_LONGS)
+                bits = np.packbits((sig & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "sketch": list(bits)})
+
+    def prepare(ids: DataFrame) -> Verifier:
+        texts = written(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi"))
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+            left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+            return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long").distinct()
 
-    return confirm
+        def sketch(some: DataFrame) -> DataFrame:
+            return texts.join(some, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(draw, "id long, sketch array<long>")
+
+        return Verifier(confirm, sketch=sketch)
+
+    return prepare
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -168,8 +186,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sets = written(signed(docs, width=width, bands=bands, rows=rows))
     classes = sets.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"))
     mapped = written(sets.join(classes, ["p1", "p2"], "left").select("doc_id", "n_shingles", "keys", F.coalesce("rep", "doc_id").alias("rep")))
+    discard(sets)
     reps = mapped.where("doc_id = rep and n_shingles > 0")
-    found = linked(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), confirmed(docs, width=width, percent=percent))
+    found = linked(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), confirmed(docs, width=width, percent=percent), percent=percent)
     named = mapped.join(found, mapped["rep"] == found["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
     )
@@ -177,6 +196,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     return named.unionByName(nameless)
 
 
+def keep_one(docs: DataFrame, **how: int) -> DataFrame:
+    """The rows of docs, all columns unchanged, of the first document of each group; one row of each doc_id."""
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 

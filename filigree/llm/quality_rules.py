@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.common import SPACES, table, words
+from filigree.llm.common import SPACES, bound, table, words
 
 #: A line in more documents of a host is boilerplate.
 MAX_DOCS = 30
@@ -22,11 +22,6 @@ SYMBOLS = "#*$%&|<>"
 PLACE_BITS = 20
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def window_hashes(tokens: Column) -> Column:
     """A hash of each three consecutive words."""
 
