@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,22 +155,28 @@ def matches(data: bytes, pieces: Pieces, on: np.ndarray) -> list[tuple]:
     return sorted(best.values(), key=lambda m: m[1:])
 
 
+def benchmark_pieces(benchmark: DataFrame) -> list[Pieces]:
+    """Indexes of the benchmark, in blocks of about BLOCK_CHARS characters."""
+    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    return [p for b in range(blocks) if (p := Pieces.of([tuple(r) for r in rows.where(part == b).collect()])).texts]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and hits, one row per row of docs: the benchmark items found and where.
 
     A hit has the item, the first and last word of the stretch, counted from 0, and its edits.
     Null and empty texts hold nothing; null or very short benchmark texts aren't looked for; items that
-    repeat are each reported. The benchmark is read in blocks of about BLOCK_CHARS, one pass each.
+    repeat are each reported.
     """
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+    sets = benchmark_pieces(benchmark)
     key, item = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {key}, hits array<struct<item_id:{item},first_word:int,last_word:int,edits:int>>"
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    sets = [Pieces.of([(r[0], r[1]) for r in benchmark.where(F.col("text").isNotNull() & (part == b)).select("item_id", "text").collect()]) for b in range(blocks)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(p, p.filter()) for p in sets if p.texts]
+        ready = [(p, p.filter()) for p in sets]
         for pdf in batches:
             out = []
             for text in pdf["text"]:
@@ -181,6 +188,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns unchanged, that hold no benchmark text."""
+    sets = benchmark_pieces(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [(p, p.filter()) for p in sets]
+        for batch in batches:
+            texts = map(normal, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([not any(matches(t, p, on) for p, on in ready) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_sort(F.array_distinct("hits.item_id")).alias("items"), F.size("hits").alias("n_hits"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,6 +208,20 @@ def score(docs: DataFrame, model: LineField, *, keep: list[str] | None = None) -
 THRESHOLD = 0.3
 
 
+def keep_good(docs: DataFrame, model: LineField, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose score is `threshold` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                both = [line_features(t or "") for t in part.column("text").to_pylist()]
+                share, _ = model.share([f for f, _ in both], [n for _, n in both])
+                yield part.filter(pa.array(model.probability(share) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels))
