@@ -1,0 +1,59 @@
+"""The whole form of line dedup against character shingles at every place, written anew."""
+
+import random
+
+from filigree.llm import line_dedup
+from tests.llm.helpers import edited, frame, odd_rows, prose
+
+
+def grams(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def brute(rows, least=1):
+    """Removed (doc_id, line_no) by comparing all pairs of lines."""
+    found, first = [], {}
+    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for n, line in enumerate((text or "").split("\n")):
+            line = line.strip(" ").lower()
+            if line.strip() and len(line) >= least:
+                found.append((i, n, line))
+                first.setdefault(line, (i, n))
+    lines = sorted(first, key=first.get)
+    sets, root = [grams(x) for x in lines], list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((root[a], root[b]))
+                root = [p if r == q else r for r in root]
+    stays = {line: first[lines[root[k]]] for k, line in enumerate(lines)}
+    return {(i, n) for i, n, line in found if stays[line] != (i, n)}
+
+
+def removed(spark, rows):
+    return {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(frame(spark, rows), **line_dedup.WHOLE).collect()}
+
+
+def corpus():
+    """Odd documents, edited lines, one changed character, and lines without spaces."""
+    rows, r = odd_rows(), random.Random(5)
+    for g in range(4):
+        base = prose(200 + g, 90).replace("\n", " ")
+        rows += [(1000 + 10 * g + k, f"{edited(base, 30 + 9 * k, k)}\n{prose(300 + 10 * g + k, 30)}\n{base if k == 3 else 'short'}\nok") for k in range(6)]
+    for k in range(40):
+        line = prose(600 + k, 40).replace("\n", " ")[: 70 + k]
+        at = r.randrange(10, 60)
+        rows += [(2000 + 2 * k, line), (2001 + 2 * k, line[:at] + "#" + line[at + 1 :])]
+    url = "https://example.org/a/"
+    rows += [(3000, url + "quarterly-report-of-the-board-2019"), (3001, url + "photographs/summer/lake-and-mountain"), (3002, url + "quarterly-report-of-the-board-2018")]
+    rows += [(3010, "春は曙やうやう白くなりゆく山際すこし明かりて紫だちたる"), (3011, "春は曙やうやう白くなりゆく夏は夜月の頃はさらなり闇もなほ蛍の")]
+    return rows
+
+
+def test_every_place_counts(spark):
+    """One changed character leaves a line found; lines that share their first 12 characters only stay."""
+    rows = corpus()
+    got, wanted = removed(spark, rows), brute(rows, line_dedup.WHOLE["min_chars"])
+    assert got <= wanted
+    assert {(2001 + 2 * k, 0) for k in range(40)} <= got
+    assert (3001, 0) not in got and (3002, 0) in got and (3011, 0) not in got
