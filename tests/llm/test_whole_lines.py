@@ -57,3 +57,17 @@ def test_every_place_counts(spark):
     assert got <= wanted
     assert {(2001 + 2 * k, 0) for k in range(40)} <= got
     assert (3001, 0) not in got and (3002, 0) in got and (3011, 0) not in got
+
+
+def test_short_lines(spark):
+    """Equal lines go however short they are; a line shorter than a shingle resembles only its equals."""
+    rows = [(1, "Menu\nok\n\n \nx"), (2, "menu \nOK\n\n\t\ny"), (3, "menus\noks\nMENU"), (4, "ä\nä\r\n"), (5, "sign in | help"), (6, "a\nsign in | help")]
+    got = removed(spark, rows)
+    assert got == brute(rows) == {(2, 0), (2, 1), (3, 2), (6, 1)}
+
+
+def test_all_lines_same_as_brute_force(spark):
+    rows = corpus()
+    got = removed(spark, rows)
+    assert got == brute(rows)
+    assert brute(rows, 20) < got
