@@ -100,7 +100,7 @@ def compared(now: DataFrame, percent: int) -> DataFrame:
     return rest.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.transform(F.filter("others", alike), lambda m: m["c"]))).alias("b"))
 
 
-def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, percent: int) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, percent: int, pairs_done: bool = False) -> DataFrame:
     """(id, component) of the ids that a confirmed link reaches.
 
     members (key, id) says which ids share a bucket; prepare makes a verifier for the ids that do.
@@ -110,6 +110,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, perc
     held against each other: in blocks where the verifier has sets. Else a few members of the
     largest component go first, and a pair is made in the first bucket that it shares only, and
     not where sketches rule a link out.
+    With pairs_done, buckets of two are done after the first pass, which has compared their members.
     Members that repeat do no harm. If members is already dealt by key, it isn't dealt again.
     """
     first = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -128,6 +129,9 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, perc
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "c", "id"))
     ranked = written(mixed(shared.select("key", "id")).withColumn("size", size).withColumn("rank", rank).select("key", "id", "rank"))
     discard(shared)
+    if pairs_done:
+        wide = ranked.groupBy("key").agg(F.max("rank").alias("most")).where("most > 2").select("key")
+        ranked = written(ranked.join(wide, "key"))
     if ranked.isEmpty():
         return found
     if verifier.sets is not None:

@@ -71,3 +71,22 @@ def test_all_lines_same_as_brute_force(spark):
     got = removed(spark, rows)
     assert got == brute(rows)
     assert brute(rows, 20) < got
+
+
+def test_recall_by_size_of_set():
+    """Of pairs at a similarity of 0.8 hardly any is missed by all bands, whatever the size of their sets."""
+    r, how = random.Random(8), line_dedup.WHOLE
+    assert how["bands"] >= 10
+    for n, changed in ((9, 1), (18, 2), (45, 5), (180, 20)):
+        one = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n + 4)) for _ in range(1000)]
+        two = [x[:-changed] + "z" * changed for x in one]
+        keys = [line_dedup.signatures(x, how["width"], how["bands"] * how["rows"]).reshape(1000, how["bands"], how["rows"]) for x in (one, two)]
+        missed = (keys[0] != keys[1]).any(2).all(1)
+        assert missed.mean() <= 0.005, n
+
+
+def test_wide_buckets(spark):
+    """Buckets of many lines, of which some resemble others than the smallest only."""
+    base = prose(900, 60).replace("\n", " ")
+    rows = [(5000 + k, edited(base, 5 + k % 7, k)) for k in range(70)]
+    assert removed(spark, rows) == brute(rows)
