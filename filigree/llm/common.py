@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-filigree-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session, whose executor is the driver, gets a temporary folder;
+    on a cluster it is an error, because executors can't read each other's disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
+        folder = local_folder()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-filigree-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 

@@ -6,12 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm.common import discard, written
 
-
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -19,14 +18,19 @@ Step = Callable[[DataFrame], DataFrame]
 class Verifier:
     """How pairs of some ids are judged.
 
-    confirm turns pairs (a, b) into those that are links. Where many pairs are expected, `sets`,
-    which gives (id, set) with each id's set as an array of hashes, lets whole blocks of members be
-    compared without making pairs; it is for small sets. For large ones `sketch` gives (id, sketch).
+    confirm turns pairs (a, b) into those that are links. sketch turns ids (id) into (id, sketch),
+    and agree(key, x, y) is false only where two sketches rule a link out, or say that the
+    pair shares another bucket in which it is judged. Where there are sets, (id, set) of some ids,
+    similar(x, y) is true of links only and pairs are judged where they meet. close frees what was read.
     """
 
     confirm: Step
-    sketch: Step | None = None
+    sketch: Step
+    agree: Callable[[Column, Column, Column], Column]
     sets: Step | None = None
+    similar: Callable[[Column, Column], Column] | None = None
+    close: Callable[[], None] = lambda: None
+
 
 #: A graph of so many edges at most is worked on in one partition, which needs no shuffles.
 ONE_PARTITION = 300_000
@@ -65,94 +69,108 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-#: Bits of a sketch, of which two sets of similarity J agree in a share of (1 + J) / 2. A pair is
-#: left out if it agrees in 4.5 standard deviations less than the least similarity would make
-#: likely, which loses one of 300,000 links at that similarity and none well above it.
+#: Bits of a sketch, of which two sets of similarity J agree in a share of (1 + J) / 2.
 SKETCH_LONGS = 64
 
 
-def agree(a: str, b: str, percent: int) -> Column:
-    """True unless the sketches in columns a and b rule out a similarity of percent."""
-    bits, p = 64 * SKETCH_LONGS, (1 + percent / 100) / 2
-    most = int(bits * (1 - p) + 4.5 * (bits * p * (1 - p)) ** 0.5)
-    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_LONGS))) <= most
+def fewest(n: int, p: float) -> int:
+    """The agreements among n places, each likely to agree with chance p, below which a pair is left out.
 
+    That is 4.5 standard deviations less than expected, which loses one of 300,000 links at the
+    least similarity and none well above it.
+    """
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
-#: Members of a bucket that are compared with one other at a time.
-BLOCK = 64
 
+def bits_agree(percent: int) -> Callable[[Column, Column, Column], Column]:
+    """For sketches of SKETCH_LONGS longs, one bit of each of many minima."""
+    bits = 64 * SKETCH_LONGS
+    most = bits - fewest(bits, (1 + percent / 100) / 2)
+    return lambda _, x, y: reduce(lambda s, t: s + t, (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_LONGS))) <= most
 
-def compared(now: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (key, id, rank, c, set) of one bucket and of different components c.
 
-    Members outside the bucket's largest component, which has the first ranks, are held against
-    blocks of all that rank before them. b is the component in which the partner was found.
-    """
-    blocks = now.groupBy("key", F.floor((F.col("rank") - 1) / BLOCK).alias("block")).agg(F.collect_list(F.struct("rank", "c", "set")).alias("others"))
-    largest = now.groupBy("key").agg(F.min_by("c", "rank").alias("largest"))
-    rest = now.join(largest, "key").where("c != largest").join(blocks, "key").where(F.col("block") * BLOCK < F.col("rank"))
+#: One id in SAMPLED is counted to find hot buckets, which are dealt to PARTS tasks; a bucket is hot
+#: from about SAMPLED * HOT members on. This decides where rows go and nothing else; buckets beyond the MOST hottest go to one task each.
+SAMPLED, HOT, PARTS, MOST = 256, 40, 64, 100_000
+#: Members of a bucket that meet in one task at a time, and members of its largest component that the others are held against first.
+BLOCK, PICKS = 1024, 8
 
-    def alike(m: Column) -> Column:
-        n, k = F.size("set"), F.size(m["set"])
-        near = (m["rank"] < F.col("rank")) & (m["c"] != F.col("c")) & (100 * F.least(n, k) >= percent * F.greatest(n, k))
-        return near & ((100 + percent) * F.size(F.array_intersect(m["set"], F.col("set"))) >= percent * (n + k))
 
-    return rest.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.transform(F.filter("others", alike), lambda m: m["c"]))).alias("b"))
+def dealt_members(members: DataFrame) -> DataFrame:
+    """members (key, id) with the part of a hot bucket they go to, -1 in all others, dealt by both."""
+    sample = members.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("key").count()
+    hot = sample.where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST).select("key", F.lit(True).alias("hot"))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS))).otherwise(-1).cast("int")
+    # hot has MOST rows at most, some 2 MB
+    return members.join(F.broadcast(hot), "key", "left").select("key", "id", part.alias("part")).repartition("key", "part")
 
 
-def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier], *, percent: int, pairs_done: bool = False) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier]) -> DataFrame:
     """(id, component) of the ids that a confirmed link reaches.
 
     members (key, id) says which ids share a bucket; prepare makes a verifier for the ids that do.
     Any two members of a bucket end in one component or are found not to be linked, yet a
-    bucket's pairs aren't all made: first every member is held against the smallest of its bucket.
-    In buckets that then still hold several components, members of different components are
-    held against each other: in blocks where the verifier has sets. Else a few members of the
-    largest component go first, and a pair is made in the first bucket that it shares only, and
-    not where sketches rule a link out.
-    With pairs_done, buckets of two are done after the first pass, which has compared their members.
-    Members that repeat do no harm. If members is already dealt by key, it isn't dealt again.
+    bucket's pairs aren't all made: first every member is held against the smallest of its bucket, or
+    of its part of a hot one. In buckets that then still hold several components, those outside
+    the largest are held against a few members of that, and in what is still mixed, against all
+    members of other components, unless sketches rule a link out. Members that repeat do no harm.
     """
-    first = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(first, "key").select("key", "id", "pivot"))
+    dealt = dealt_members(members)
+    first = dealt.groupBy("key", "part").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1 or part >= 0")
+    shared = written(dealt.join(first, ["key", "part"]).select("key", "part", "id", "pivot"))
     verifier = prepare(shared.select("id").distinct())
-    confirm, sketch = verifier.confirm, verifier.sketch
-    found = components(confirm(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    pairs = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    heads = shared.where("part >= 0 and id = pivot").select("key", "id")  # PARTS at most for each hot bucket
+    pairs = pairs.unionByName(heads.join(heads.groupBy("key").agg(F.min("id").alias("a")), "key").where("id != a").select("a", F.col("id").alias("b")))
+    found = components(verifier.confirm(pairs.distinct()))
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """rows (key, id, ...) with their component c, of buckets with several components."""
-        named = rows.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        """(key, id, c) of rows in buckets with several components c."""
+        named = rows.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         keys = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2")
-        return named.join(keys.select("key"), "key")
-
-    size = F.count("*").over(Window.partitionBy("key", "c"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "c", "id"))
-    ranked = written(mixed(shared.select("key", "id")).withColumn("size", size).withColumn("rank", rank).select("key", "id", "rank"))
-    discard(shared)
-    if pairs_done:
-        wide = ranked.groupBy("key").agg(F.max("rank").alias("most")).where("most > 2").select("key")
-        ranked = written(ranked.join(wide, "key"))
-    if ranked.isEmpty():
-        return found
-    if verifier.sets is not None:
-        more = compared(mixed(ranked).join(verifier.sets(ranked.select("id").distinct()), "id"), percent)
-        return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    about = ranked.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # as many as there are bands
-    if sketch is not None:
-        about = about.join(sketch(ranked.select("id").distinct()), "id")
-    about = written(about)
-    for low, high in ((0, 16), (16, 2**31 - 1)):
-        now = written(mixed(ranked).join(about, "id"))
-        if now.isEmpty():
-            return found
-        pivots = now.where((F.col("rank") > low) & (F.col("rank") <= high)).select(*(F.col(c).alias(f"{c}_a") if c != "key" else F.col(c) for c in now.columns))
-        tested = (F.col("rank") > F.col("rank_a")) & (F.col("c") != F.col("c_a"))
-        if sketch is not None:
-            tested = tested & agree("sketch", "sketch_a", percent)
-        tested = tested & (F.array_min(F.array_intersect("keys", "keys_a")) == now["key"])
-        pairs = now.join(pivots, "key").where(tested).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
-        more = written(confirm(pairs))
-        discard(now)
+        return named.join(keys.select("key"), "key").distinct()
+
+    def with_largest(rows: DataFrame) -> DataFrame:
+        """rows with the bucket's size n and its largest component."""
+        sizes = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("n"), F.max_by("c", F.struct("size", "c")).alias("largest"))
+        return rows.join(sizes, "key")
+
+    agree = verifier.agree(F.col("key"), F.col("sketch_a"), F.col("sketch_b"))
+
+    def against_picks(rows: DataFrame) -> DataFrame:
+        """Links of those outside a bucket's largest component with a few members of that."""
+        picks = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PICKS)]
+        some = rows.where("c = largest").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("picks")).select("key", F.explode("picks").alias("a"))
+        met = rows.where("c != largest").join(some, "key").select("key", "a", F.col("id").alias("b"))
+        for side in "ab":
+            met = met.join(sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        return verifier.confirm(met.where(agree).select("a", "b").distinct())
+
+    def against_all(rows: DataFrame) -> DataFrame:
+        """Links of those outside a bucket's largest component with members of any other component, in blocks."""
+        blocks = F.ceil(F.col("n") / BLOCK)
+        about = rows.join(sketches, "id")
+        if verifier.sets is not None:
+            about = about.join(verifier.sets(rows.select("id").distinct()), "id")
+        own = [c for c in about.columns if c not in ("key", "n", "largest")]
+        rest = about.where("c != largest").select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in own), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+        every = about.select("key", *(F.col(c).alias(f"{c}_b") for c in own), F.pmod(F.xxhash64("id"), blocks).alias("block"))
+        met = rest.join(every, ["key", "block"]).where("c_a != c_b and (c_b = largest or id_a < id_b)").where(agree)
+        if verifier.similar is not None:
+            return met.where(verifier.similar(F.col("set_a"), F.col("set_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        return verifier.confirm(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+
+    left, sketches = shared, None
+    for links_of in (against_picks, against_all):
+        old, left = left, written(with_largest(mixed(left)))
+        discard(old)
+        if left.isEmpty():
+            break
+        sketches = sketches or written(verifier.sketch(left.select("id").distinct()))
+        more = written(links_of(left))
         if not more.isEmpty():
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        discard(more)
+    discard(left, *([sketches] if sketches else []))
+    verifier.close()
     return found

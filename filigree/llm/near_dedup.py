@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm.common import discard, table, written
-from filigree.llm.components import SKETCH_LONGS, Verifier, linked
+from filigree.llm.components import SKETCH_LONGS, Verifier, bits_agree, linked
 
 #: A pair at the least similarity of 0.8 is missed by all bands with chance
 #: (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -107,7 +107,8 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, size of the shingle set, a 128-bit fingerprint of it, and band keys."""
+    """doc_id, a hash of the text, size of the shingle set, a 128-bit fingerprint of it, and band keys."""
+    key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -119,16 +120,17 @@ def signed(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(signatures(sets, bands * rows), bands, rows)
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets],
+                        "doc_id": part["doc_id"], "tag": part["tag"], "n_shingles": [len(s) for s in sets],
                         "p1": [p[0] for p in prints], "p2": [p[1] for p in prints],
                         "keys": [k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)],
                     }
                 )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>")
+    tagged = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    return tagged.mapInPandas(run, f"doc_id {key}, tag long, n_shingles long, p1 long, p2 long, keys array<long>")
 
 
-def confirmed(docs: DataFrame, *, width: int, percent: int) -> Callable[[DataFrame], Verifier]:
+def confirmed(docs: DataFrame, reps: DataFrame, *, width: int, percent: int) -> Callable[[DataFrame], Verifier]:
     """A verifier that compares full shingle sets; its sketches are a bit of each place of a long signature."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,20 +160,22 @@ def confirmed(docs: DataFrame, *, width: int, percent: int) -> Callable[[DataFra
                 part = pdf.iloc[at : at + 200]
                 sig = signatures([shingle_set(t, width, words) for t in part["text"]], 64 * SKETCH_LONGS)
                 bits = np.packbits((sig & U64(1)).astype(np.uint8), axis=1).view(np.int64)
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "sketch": list(bits)})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "sketch": list(bits)})
 
     def prepare(ids: DataFrame) -> Verifier:
-        texts = written(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi"))
+        wanted = reps.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("__doc"), F.col("first.tag").alias("__tag"))
+        same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__tag"))
+        # a row that repeats gives its text twice, which makes no difference but to the time
+        texts = written(docs.select("doc_id", "text").join(wanted, same).select("id", "text"))
 
         def confirm(pairs: DataFrame) -> DataFrame:
-            right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-            left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+            right, left = texts.withColumnsRenamed({"id": "b", "text": "tb"}), texts.withColumnsRenamed({"id": "a", "text": "ta"})
             return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long").distinct()
 
         def sketch(some: DataFrame) -> DataFrame:
-            return texts.join(some, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(draw, "id long, sketch array<long>")
+            return texts.join(some, "id", "left_semi").mapInPandas(draw, "id long, sketch array<long>").dropDuplicates(["id"])
 
-        return Verifier(confirm, sketch=sketch)
+        return Verifier(confirm, sketch, bits_agree(percent), close=lambda: discard(texts))
 
     return prepare
 
@@ -179,21 +183,25 @@ def confirmed(docs: DataFrame, *, width: int, percent: int) -> Callable[[DataFra
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept, one row per row of docs.
 
-    A null, empty or blank text has no shingles and is linked with nothing. Rows of equal doc_id
-    are one document: their links join, and each row is returned. Rows without doc_id can't be
-    named in a link; they are returned as kept, without a component.
+    doc_id may be of any type that has an order. A null, empty or blank text has no shingles and is
+    linked with nothing. Rows that repeat under one doc_id are linked like any copies; if their texts
+    differ, each is judged by its own. Rows without doc_id can't be named in a link; they are
+    returned as kept, without a component.
     """
+    key = docs.schema["doc_id"].dataType.simpleString()
     sets = written(signed(docs, width=width, bands=bands, rows=rows))
-    classes = sets.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"))
-    mapped = written(sets.join(classes, ["p1", "p2"], "left").select("doc_id", "n_shingles", "keys", F.coalesce("rep", "doc_id").alias("rep")))
-    discard(sets)
-    reps = mapped.where("doc_id = rep and n_shingles > 0")
-    found = linked(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), confirmed(docs, width=width, percent=percent), percent=percent)
-    named = mapped.join(found, mapped["rep"] == found["id"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
-    )
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return named.unionByName(nameless)
+    # equal sets are one; the smallest document with such a set stands for all
+    classes = sets.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.first("keys").alias("keys"))
+    reps = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    found = written(linked(reps.select(F.explode("keys").alias("key"), "id"), confirmed(docs, reps, width=width, percent=percent)))
+    named = reps.join(found, "id", "left").select("p1", "p2", "first.doc_id", F.coalesce("component", "id").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = written(named.join(smallest, "component").select("p1", "p2", "component_id"))
+    discard(reps, found)
+    own = F.coalesce("component_id", "doc_id")
+    out = sets.join(groups, ["p1", "p2"], "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    nameless = docs.where("doc_id is null").selectExpr(f"cast(null as {key}) as doc_id", "cast(null as bigint) as n_shingles", f"cast(null as {key}) as component_id", "true as kept")
+    return out.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from filigree.llm import near_dedup
-from filigree.llm.components import components, compared
+from filigree.llm import components as union
+from filigree.llm.components import components
 from tests.llm.helpers import edited, frame, odd_rows, prose
 
 
@@ -77,6 +78,15 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_blocks_find_links_between_components(spark):
-    now = spark.createDataFrame([(1, i, i + 1, 0, list(range(10))) for i in range(70)] + [(1, 90, 71, 90, list(range(1, 11))), (1, 91, 72, 91, [99])], "key long, id long, rank int, c long, set array<long>")
-    assert {tuple(r) for r in compared(now, 80).collect()} == {(90, 0)}  # once for each block
+def test_large_graphs_and_hot_buckets_take_the_other_way(spark, monkeypatch):
+    """Shuffled union-find, buckets dealt in parts and blocks of two members give the same."""
+    rows = odd_rows() + [(1000 + k, edited(prose(77, 100), 9 + k, k)) for k in range(40)]
+    for name, value in (("ONE_PARTITION", 0), ("SAMPLED", 1), ("HOT", 3), ("PARTS", 4), ("BLOCK", 2), ("PICKS", 1)):
+        monkeypatch.setattr(union, name, value)
+    wanted = brute(rows, 2)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=2).collect() if r.doc_id is not None} == wanted
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("b", prose(1, 50)), ("a", prose(1, 50)), ("c", prose(2, 50)), (None, prose(1, 50))], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()} == {("b", "a", False), ("a", "a", True), ("c", "c", True), (None, None, True)}
