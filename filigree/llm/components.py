@@ -20,15 +20,14 @@ class Verifier:
 
     confirm turns pairs (a, b) into those that are links. sketch turns ids (id) into (id, sketch),
     and agree(key, x, y) is false only where two sketches rule a link out, or say that the
-    pair shares another bucket in which it is judged. Where there are sets, (id, set) of some ids,
-    similar(x, y) is true of links only and pairs are judged where they meet. close frees what was read.
+    pair shares another bucket in which it is judged. narrow leaves out pairs that are no links by
+    finer sketches, where many are expected. close frees what was read.
     """
 
     confirm: Step
     sketch: Step
     agree: Callable[[Column, Column, Column], Column]
-    sets: Step | None = None
-    similar: Callable[[Column, Column], Column] | None = None
+    narrow: Step = lambda pairs: pairs
     close: Callable[[], None] = lambda: None
 
 
@@ -150,15 +149,11 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier]) -> Data
         """Links of those outside a bucket's largest component with members of any other component, in blocks."""
         blocks = F.ceil(F.col("n") / BLOCK)
         about = rows.join(sketches, "id")
-        if verifier.sets is not None:
-            about = about.join(verifier.sets(rows.select("id").distinct()), "id")
         own = [c for c in about.columns if c not in ("key", "n", "largest")]
         rest = about.where("c != largest").select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in own), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
         every = about.select("key", *(F.col(c).alias(f"{c}_b") for c in own), F.pmod(F.xxhash64("id"), blocks).alias("block"))
         met = rest.join(every, ["key", "block"]).where("c_a != c_b and (c_b = largest or id_a < id_b)").where(agree)
-        if verifier.similar is not None:
-            return met.where(verifier.similar(F.col("set_a"), F.col("set_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        return verifier.confirm(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+        return verifier.confirm(verifier.narrow(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()))
 
     left, sketches = shared, None
     for links_of in (against_picks, against_all):
