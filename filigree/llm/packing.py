@@ -36,30 +36,46 @@ CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str):
-    """A function from text to an array of ids.
-
-    Beside a vocabulary `x.json` there may be `x.tiktoken`, the same vocabulary as ranks;
-    it gives the same ids several times faster. Control strings in a text are plain text.
-    """
+def ranked(json_path: str):
+    """The vocabulary of x.json from x.tiktoken beside it, where that is: the same ids several times faster."""
     import base64
     import os
 
     ranks_path = json_path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks_path):
-        import tiktoken
+    if not os.path.exists(ranks_path):
+        return None
+    import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("ranks", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(bpe.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(json_path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(json_path)
     tok.encode_special_tokens = True
+    return tok
+
+
+def encoder(json_path: str, *, fast: bool = True):
+    """A function from text to an array of ids. Control strings in a text are plain text."""
+    if fast and (bpe := ranked(json_path)) is not None:
+        return lambda text: np.asarray(bpe.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+    tok = tokenizer_of(json_path)
     return lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+def decoder(json_path: str, *, fast: bool = True):
+    """A function from the ids of a whole text back to it."""
+    if fast and (bpe := ranked(json_path)) is not None:
+        return lambda ids: bpe.decode_bytes(ids.tolist()).decode("utf-8", "replace")
+    tok = tokenizer_of(json_path)
+    return lambda ids: tok.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of `lengths` split into at most `windows` lists of near-equal sums.
 
