@@ -5,34 +5,35 @@ overlapping pieces. A stretch of a document within `e` edits of a piece of m cha
 at least m - Q + 1 - Q * e q-grams with it, all on diagonals (place in the document less place
 in the piece) at most e apart. So shared q-grams are counted in overlapping bands of
 diagonals, bands with enough of them are kept, and banded alignment finds their edits.
-Lengths, q-grams and edits are of UTF-8 bytes.
+Lengths, q-grams and edits are of UTF-8 bytes. The pieces are dealt to blocks; one pass over the
+documents holds one block, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.common import table
+from filigree.llm.common import discard, table, written
 
 #: One q-gram is exactly one 64-bit number.
 Q = 8
 #: Length of a piece of a benchmark text and the step between two. Any stretch of PIECE + STEP
-#: characters of a benchmark text holds a whole piece. Shorter texts are one piece; below
-#: LEAST characters they are too common to be told from chance and aren't looked for.
+#: characters of a benchmark text holds a whole piece. Shorter texts are one piece; those below
+#: LEAST characters can't be told from chance within a sentence and are found as whole lines, letter by letter.
 PIECE, STEP, LEAST = 120, 60, 24
 #: Edits allowed for each character of a piece.
 RATE = 0.08
 #: Diagonals between the beginnings of two bands.
 BAND = 16
-#: Characters of benchmark texts which one pass over the documents holds in memory.
-BLOCK_CHARS = 4_000_000
+#: Pieces of a block, about; places of one q-gram in an index; q-grams shared with one that are looked at at a time.
+BLOCK_PIECES, POSTINGS, SHARED = 65_536, 50_000, 8_000_000
 HASH_BITS = 22
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +52,22 @@ def slot(g: np.ndarray) -> np.ndarray:
     return ((g * SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
+def pieces_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, piece): each text in overlapping pieces of its normal form; a text below LEAST is one piece."""
+    item = benchmark.schema["item_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for item_id, text in zip(pdf["item_id"], pdf["text"], strict=True):
+                data = normal(text)
+                last = max(0, len(data) - PIECE)
+                rows += [(item_id, data[at : at + PIECE]) for at in sorted({*range(0, last + 1, STEP), last}) if data]
+            yield pd.DataFrame(rows, columns=["item_id", "piece"])
+
+    return benchmark.select("item_id", "text").mapInPandas(cut, f"item_id {item}, piece binary")
+
+
 @dataclass
 class Pieces:
     """Pieces of the benchmark with an index from q-grams to places in pieces."""
@@ -66,13 +83,7 @@ class Pieces:
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Pieces:
-        items, texts = [], []
-        for item, text in rows:
-            data = normal(text)
-            last = max(0, len(data) - PIECE)
-            for at in sorted({*range(0, last + 1, STEP), last}) if len(data) >= LEAST else ():
-                items.append(item)
-                texts.append(data[at : at + PIECE])
+        items, texts = [r[0] for r in rows], [bytes(r[1]) for r in rows]
         m = np.array([len(t) for t in texts], np.int64)
         edits = np.minimum((RATE * m).astype(np.int64), np.maximum(0, (m - Q) // Q))
         need = m - Q + 1 - Q * edits
@@ -89,6 +100,48 @@ class Pieces:
         return on
 
 
+def indexes(rows: list[tuple]) -> list[Pieces]:
+    """Indexes of pieces, split until no q-gram has more than POSTINGS places in one."""
+    made = Pieces.of(rows)
+    if len(rows) > 1 and len(made.keys) and np.diff(made.first).max() > POSTINGS:
+        return indexes(rows[::2]) + indexes(rows[1::2])
+    return [made]
+
+
+@dataclass
+class Block:
+    """What one pass over the documents looks for."""
+
+    indexes: list[Pieces]
+    lines: dict[bytes, list]
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Block:
+        rows, lines = sorted(rows, key=lambda r: (bytes(r[1]), str(r[0]))), {}
+        for item, piece in rows:
+            if len(piece) < LEAST:
+                lines.setdefault(bytes(piece), []).append(item)
+        return cls(indexes([r for r in rows if len(r[1]) >= LEAST]), lines)
+
+    def ready(self) -> Callable[[str | None], list[tuple]]:
+        """A function from a text to its hits (item, first word, last word, edits)."""
+        filters = [(p, p.filter()) for p in self.indexes if p.texts]
+
+        def find(text: str | None) -> list[tuple]:
+            data = normal(text)
+            hits = [(i, data.count(b" ", 0, a), data.count(b" ", 0, b), e) for p, on in filters for i, a, b, e in matches(data, p, on)]
+            if self.lines and data:
+                at = 0
+                for line in (text or "").split("\n"):
+                    words = normal(line)
+                    n = words.count(b" ") + 1 if words else 0
+                    hits += [(i, at, at + n - 1, 0) for i in self.lines.get(words, ())]
+                    at += n
+            return hits
+
+        return find
+
+
 def shared(data: bytes, pieces: Pieces, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, first diagonal) of the bands of `data` that share enough q-grams with a piece."""
     g = grams(data)
@@ -108,16 +161,29 @@ def shared(data: bytes, pieces: Pieces, on: np.ndarray) -> tuple[np.ndarray, np.
     if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     n = pieces.first[found + 1] - pieces.first[found]
-    entry = np.repeat(pieces.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    piece = pieces.piece[entry]
-    diagonal = np.repeat(at, n) - pieces.place[entry] + PIECE
-    band = diagonal // BAND
-    reach = np.flatnonzero(diagonal - band * BAND < pieces.edits[piece])  # also in the band before
     bands = (len(data) + 2 * PIECE) // BAND + 2
-    key = np.concatenate([piece * bands + band, piece[reach] * bands + band[reach] - 1])
-    key, count = np.unique(key, return_counts=True)
-    enough = count >= pieces.need[key // bands]
-    return key[enough] // bands, key[enough] % bands * BAND - PIECE
+    most = int(pieces.edits.max())
+    reach, total = PIECE + BAND + most, np.cumsum(n)
+    out, begin, done = [], 0, -1
+    while begin < len(at):
+        # a slice of places; it decides the bands whose last place lies in it, for which it looks back
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - n[begin] + SHARED, side="right")))
+        back = int(np.searchsorted(at, done - reach))
+        part = slice(back, end)
+        entry = np.repeat(pieces.first[found[part]] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())
+        piece = pieces.piece[entry]
+        diagonal = np.repeat(at[part], n[part]) - pieces.place[entry] + PIECE
+        band = diagonal // BAND
+        edge = np.flatnonzero(diagonal - band * BAND < pieces.edits[piece])  # also in the band before
+        key = np.concatenate([piece * bands + band, piece[edge] * bands + band[edge] - 1])
+        key, count = np.unique(key, return_counts=True)
+        last = key % bands * BAND + BAND + most  # the last place of a band: its last diagonal with a piece's end
+        upto = int(at[end - 1]) if end < len(at) else len(data) + reach
+        own = (count >= pieces.need[key // bands]) & (last > done) & (last <= upto)
+        out.append(key[own])
+        begin, done = end, upto
+    key = np.unique(np.concatenate(out))
+    return key // bands, key % bands * BAND - PIECE
 
 
 def align(piece: bytes, data: bytes, low: int, width: int, limit: int) -> tuple[int, int]:
@@ -143,62 +209,72 @@ def align(piece: bytes, data: bytes, low: int, width: int, limit: int) -> tuple[
 
 
 def matches(data: bytes, pieces: Pieces, on: np.ndarray) -> list[tuple]:
-    """(item, start, end, edits) of the pieces found in a normal text, at most one for each item and place."""
-    best: dict[tuple, tuple] = {}
+    """(item, start, end, edits) of each stretch of a normal text that is found to be a piece."""
+    found = set()
     for piece, low in zip(*(x.tolist() for x in shared(data, pieces, on)), strict=True):
         e, text = int(pieces.edits[piece]), pieces.texts[piece]
         edits, end = align(text, data, low - e, BAND + 3 * e + 1, e)
         if edits <= e:
-            key = (pieces.items[piece], end // BAND)
-            if key not in best or edits < best[key][3]:
-                best[key] = (pieces.items[piece], max(0, end - len(text)), end, edits)
-    return sorted(best.values(), key=lambda m: m[1:])
+            found.add((pieces.items[piece], max(0, end - len(text)), end, edits))
+    return sorted(found, key=lambda m: m[1:])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, tag, hits) of the documents that hold benchmark texts; tag is a hash of the text.
+
+    Each pass holds one block of pieces, which is all that goes to the driver at once.
+    """
+    pieces = written(pieces_of(benchmark))
+    blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
+    key, item = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    schema = f"doc_id {key}, tag long, hits array<struct<item_id:{item},first_word:int,last_word:int,edits:int>>"
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+
+    def one_pass(block: Block) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find = block.ready()
+            for pdf in batches:
+                found = [[{"item_id": i, "first_word": a, "last_word": b, "edits": e} for i, a, b, e in find(text)] for text in pdf["text"]]
+                yield pdf[["doc_id", "tag"]].assign(hits=found)[[bool(h) for h in found]]
 
+        return tagged.mapInPandas(run, schema)
 
-def benchmark_pieces(benchmark: DataFrame) -> list[Pieces]:
-    """Indexes of the benchmark, in blocks of about BLOCK_CHARS characters."""
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    return [p for b in range(blocks) if (p := Pieces.of([tuple(r) for r in rows.where(part == b).collect()])).texts]
+    part = F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks))
+    passes = [written(one_pass(Block.of([tuple(r) for r in pieces.where(part == b).collect()])).distinct()) for b in range(blocks)]
+    discard(pieces)
+    return reduce(DataFrame.unionByName, passes)
+
+
+def same_row(found: DataFrame) -> Column:
+    """Joins hits to their rows; a row is told by its doc_id and text."""
+    return F.col("doc_id").eqNullSafe(found["__doc"]) & F.xxhash64("text").eqNullSafe(found["__tag"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and hits, one row per row of docs: the benchmark items found and where.
 
-    A hit has the item, the first and last word of the stretch, counted from 0, and its edits.
-    Null and empty texts hold nothing; null or very short benchmark texts aren't looked for; items that
-    repeat are each reported.
+    A hit has the item, the first and last word of the stretch, counted from 0, and its edits; of
+    an item's hits that end in one word that with the fewest edits is given. Null and empty texts hold
+    nothing; null and empty benchmark texts aren't looked for; items that repeat are reported alike.
+    Rows that repeat get the same hits.
     """
-    sets = benchmark_pieces(benchmark)
-    key, item = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {key}, hits array<struct<item_id:{item},first_word:int,last_word:int,edits:int>>"
+    order = F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct(h["item_id"].alias("item_id"), h["last_word"].alias("last_word"), h["edits"].alias("edits"), h["first_word"].alias("first_word")))
+    found = hits(docs, benchmark).groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.array_sort(order).alias("__hits"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(p, p.filter()) for p in sets]
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                data = normal(text)
-                hits = [h for p, on in ready for h in matches(data, p, on)]
-                out.append([{"item_id": i, "first_word": data.count(b" ", 0, a), "last_word": data.count(b" ", 0, b), "edits": e} for i, a, b, e in hits])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hits": out})
+    def fewest(h: Column, i: Column) -> Column:
+        before = F.get(F.col("__hits"), i - 1)
+        return (i == 0) | ~before["item_id"].eqNullSafe(h["item_id"]) | (before["last_word"] != h["last_word"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    kept = F.transform(F.filter("__hits", fewest), lambda h: F.struct(h["item_id"].alias("item_id"), h["first_word"].alias("first_word"), h["last_word"].alias("last_word"), h["edits"].alias("edits")))
+    found = found.withColumn("__hits", kept)
+    kind = found.schema["__hits"].dataType.simpleString()
+    return docs.select("doc_id", "text").join(found, same_row(found), "left").select("doc_id", F.coalesce("__hits", F.array().cast(kind)).alias("hits"))
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns unchanged, that hold no benchmark text."""
-    sets = benchmark_pieces(benchmark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(p, p.filter()) for p in sets]
-        for batch in batches:
-            texts = map(normal, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([not any(matches(t, p, on) for p, on in ready) for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs, all columns unchanged, that hold no benchmark text; see contamination."""
+    found = hits(docs, benchmark).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    return docs.join(found, same_row(found), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -104,3 +105,66 @@ def test_alignment_counts_edits():
     piece = prose(5, 20).encode()[:100]
     for text, edits in ((piece, 0), (piece[:50] + b"#" + piece[51:], 1), (piece[:50] + piece[52:], 2), (piece[:50] + b"###" + piece[50:], 3)):
         assert decontamination.align(piece, b"x" * 30 + text + b"y" * 30, 22, 25, 8) == (edits, 30 + len(text))
+
+
+def edits_within(piece: bytes, data: bytes) -> int:
+    """Fewest edits between a piece and any stretch of data: the plain table, row by row."""
+    row = [0] * (len(data) + 1)
+    for i, p in enumerate(piece, 1):
+        before, row = row, [i]
+        for j, d in enumerate(data, 1):
+            row.append(min(before[j - 1] + (p != d), before[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def contaminated(rows, items):
+    """(doc_id, item) by comparing every piece with every stretch."""
+    d, out = decontamination, set()
+    for item, text in items:
+        data = d.normal(text)
+        last = max(0, len(data) - d.PIECE)
+        pieces = {data[at : at + d.PIECE] for at in (*range(0, last + 1, d.STEP), last)}
+        for i, t in rows:
+            if 0 < len(data) < d.LEAST:
+                hit = any(d.normal(x) == data for x in (t or "").split("\n"))
+            else:
+                hit = any(edits_within(p, d.normal(t)) <= min(int(d.RATE * len(p)), (len(p) - d.Q) // d.Q) for p in pieces if p)
+            out |= {(i, item)} if hit else set()
+    return out
+
+
+def some_contaminated(n=14):
+    r, items = random.Random(4), [(k, prose(910 + k, 8 + 9 * k)) for k in range(5)] + [(10, "to be or not"), (11, None), (12, "a" * 130)]
+    rows = [(200, "x\nTo be  or not\ny"), (201, "to be or not to"), (202, "b" + "a" * 300), (203, None), (204, "")]
+    for k in range(n):
+        text = list(items[k % 5][1].replace("\n", " "))
+        for _ in range(k):
+            at = r.randrange(len(text))
+            text[at : at + 1] = r.choice((["#"], [], [text[at], "z"]))
+        rows.append((k, f"{prose(930 + k, 12)} {''.join(text)} {prose(950 + k, 8)}"))
+    return rows, items
+
+
+def test_contamination_same_as_edit_distance_everywhere(spark, monkeypatch):
+    """The same with one block or many, whatever the size of indexes and slices."""
+    rows, items = some_contaminated()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = contaminated(rows, items)
+    docs = frame(spark, rows).drop("removed", "ids", "id", "component").repartition(2)
+    first = sorted(map(str, decontamination.contamination(docs, bench).collect()))
+    found = {(r.doc_id, h.item_id) for r in decontamination.contamination(docs, bench).collect() for h in r.hits}
+    assert found == wanted and {(200, 10), (202, 12)} <= wanted
+    monkeypatch.setattr(decontamination, "BLOCK_PIECES", 9)
+    assert sorted(map(str, decontamination.contamination(docs, bench).collect())) == first
+    assert decontamination.clean_only(docs, bench).count() == len(rows) - len({i for i, _ in wanted})
+
+
+def test_small_slices_and_indexes_find_the_same(monkeypatch):
+    rows, items = some_contaminated()
+    pieces = [(i, decontamination.normal(t)[a : a + 120]) for i, t in items for a in range(0, len(t or ""), 60)]
+    whole = [decontamination.Block.of(pieces).ready()(t) for _, t in rows]
+    monkeypatch.setattr(decontamination, "SHARED", 3)
+    monkeypatch.setattr(decontamination, "POSTINGS", 4)
+    split = decontamination.Block.of(pieces)
+    assert len(split.indexes) > 1
+    assert [sorted(split.ready()(t)) for _, t in rows] == [sorted(x) for x in whole]
