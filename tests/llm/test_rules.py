@@ -1,5 +1,8 @@
 import re
 from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 from filigree.llm import quality_rules, url_filter
 from tests.llm.helpers import frame, odd_rows, prose
@@ -58,3 +61,32 @@ def test_mined_rules(spark):
     df = spark.createDataFrame(pages, "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), min_count=5).collect()}
     assert {i for i, v in got.items() if v == "block"} == {i for i in range(240) if i % 3 == 0 and i % 2}
+
+
+def test_rules_are_those_of_a_plain_itemset_count(spark):
+    """Every combination of tokens is counted; the operator finds the same blocked urls, and names a rule that holds."""
+    rows = [(i, f"http://{'cheap-' if i % 4 == 0 else ''}shop{i % 5}.{'biz' if i % 3 else 'org'}/{'buy' if i % 2 else 'see'}/p{i % 7}") for i in range(210)]
+    bad = {i for i in range(210) if i % 4 == 0 and i % 2 == 0 or i % 7 == 3 and i % 3}
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    parts = url_filter.with_parts(df).select("page_id", url_filter.tokens(F.col("url"), F.col("host"), F.col("path")).alias("t"))
+    held = {r.page_id: frozenset(r.t) for r in parts.collect()}
+    n, n_bad = Counter(), Counter()
+    for i in range(150):
+        for k in range(1, len(held[i]) + 1):
+            for c in combinations(sorted(held[i]), k):
+                n[c] += 1
+                n_bad[c] += i in bad
+    share = len([i for i in range(150) if i in bad]) / 150
+    rules = [set(c) for c in n if n_bad[c] >= 6 and n_bad[c] / n[c] >= 0.8 and n_bad[c] / n[c] / share >= 1.2]
+    wanted = {i for i, t in held.items() if any(r <= t for r in rules)}
+    got = {r.page_id: (r.verdict, r.mined_rule) for r in url_filter.filter_urls(df, labels, min_count=6).collect()}
+    assert rules and {i for i, (v, _) in got.items() if v == "block"} == wanted
+    assert all(set(rule.split(" ")) in [r for r in rules if r <= held[i]] for i, (v, rule) in got.items() if v == "block")
+
+
+def test_long_and_odd_urls(spark):
+    pages = [(1, "http://a.org/" + "x/" * 20_000), (2, "://"), (3, ""), (None, "http://b.net/es/"), (4, "http://é.net/fr/ü?" + "k=v&" * 5000)]
+    labels = spark.createDataFrame([(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert got == {1: ("a.org", None, "allow"), 2: ("", None, "allow"), 3: ("", None, "allow"), None: ("b.net", "net/es/", "block"), 4: ("é.net", "net/fr/", "block")}
