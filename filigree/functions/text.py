@@ -7,6 +7,7 @@ matching step and its output is part of that step's keys.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,6 +80,11 @@ UNSPECIFIC_RECIPIENTS = (
 )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -20,7 +20,11 @@ def indicator(df: DataFrame, condition: Column, severity: Column | str, category
 
 
 def financial(years: DataFrame) -> DataFrame:
-    """years: ein, tax_year, revenue, expenses, net_assets, assets, liabilities, employees, grants_paid, lobbying."""
+    """years: ein, tax_year, revenue, expenses, net_assets, assets, liabilities, employees, grants_paid, lobbying.
+
+    Private foundations, where years has private_foundation, may have no employees and mostly make grants.
+    """
+    operating = ~F.coalesce("private_foundation", F.lit(False)) if "private_foundation" in years.columns else F.lit(True)
     net = F.col("revenue") - F.col("expenses")
     deficit = F.abs(net) / F.greatest("revenue", "expenses", F.lit(1.0))
     debt = F.try_divide("liabilities", "assets")
@@ -32,8 +36,8 @@ def financial(years: DataFrame) -> DataFrame:
         indicator(years, net < 0, F.when(deficit >= 0.25, "High").otherwise("Medium"), "Financial", "Operating deficit"),
         indicator(years, F.col("net_assets") < 0, "High", "Financial", "Negative net assets"),
         indicator(years, (F.col("net_assets") >= 0) & (debt >= 0.8), "Medium", "Financial", "High liability-to-asset ratio"),
-        indicator(years, (F.col("expenses") >= 500_000) & (F.col("employees") == 0), "Medium", "Operations", "High expenses with zero employees"),
-        indicator(years, part("grants_paid") >= 0.75, "Medium", "Grants", "Grants dominate expenses"),
+        indicator(years, (F.col("expenses") >= 500_000) & (F.col("employees") == 0) & operating, "Medium", "Operations", "High expenses with zero employees"),
+        indicator(years, (part("grants_paid") >= 0.75) & operating, "Medium", "Grants", "Grants dominate expenses"),
         indicator(years, part("lobbying") >= 0.05, F.when(part("lobbying") >= 0.2, "High").otherwise("Medium"), "Political", "Material lobbying expense"),
     )
     return reduce(DataFrame.unionByName, families)

@@ -1,7 +1,7 @@
 """The library's queries on the driver's tables, with SQL that must give the same rows."""
 
-from filigree.plans import filings, ingest, names, network
+from filigree.plans import filings, ingest, names, network, risk_families, searches
 
-MODULES = (filings, names, network, ingest)
+MODULES = (filings, names, network, ingest, risk_families, searches)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in MODULES for name, s in m.ORACLES.items()}

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from filigree.operators.sets import keep_first
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows, and old ones of other keys."""
-    return old.join(new, list(keys), "left_anti").unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Of each key in new its first row in order, and old rows of other keys: one row for each key."""
+    return old.join(new, list(keys), "left_anti").unionByName(keep_first(new, keys, order))
 
 
 def first_wins(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -40,11 +40,15 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
     a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
     fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
     old = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.old-{uuid.uuid4().hex}")
-    if fs.exists(b):
-        fs.rename(b, old)
+    had = fs.exists(b)
+    if had and not fs.rename(b, old):
+        raise OSError(f"couldn't move {target} aside")
     if not fs.rename(a, b):
+        if had and not fs.rename(old, b):
+            raise OSError(f"couldn't publish {target}; what it held is in {old}")
         raise OSError(f"couldn't publish {target}")
-    fs.delete(old, True)
+    if had:
+        fs.delete(old, True)
 
 
 def export_batches(df: DataFrame, path: str, order: Sequence[str], size: int) -> None:

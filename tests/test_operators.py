@@ -102,13 +102,22 @@ def test_rules_in_order(spark):
     assert [r.rule for r in rules.accept(df).collect()] == ["reported_ein_candidate", "exact_name_zip", "needs_ai_or_review", "clear_best_candidate"]
 
 
-@pytest.mark.parametrize("text", ["DELETE FROM t", "SELECT 1; SELECT 2", "SELECT * FROM t LIMIT x", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM t, u"])
+@pytest.mark.parametrize("text", ["DELETE FROM t", "SELECT 1; SELECT 2", "SELECT * FROM t LIMIT x", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM t, u",
+    "SELECT x.id FROM (SELECT id FROM t) x, secret", "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM t", "TABLE secret", "SELECT nope FROM t", "SET a = 1", "VALUES (1)",
+    "SELECT id FROM t WHERE id IN (SELECT id FROM secret)", "WITH secret AS (SELECT id FROM secret) SELECT id FROM secret", "SELECT id FROM range(5)", "SELECT id FROM parquet.`/etc`", "SELECT id FROM t LIMIT 1 + 1",
+])
 def test_guard_refuses(spark, text):
+    spark.range(3).createOrReplaceTempView("secret")
     with pytest.raises(guard.Refused):
         guard.ask(spark, text, {"t": spark.range(1), "u": spark.range(1)})
+    spark.catalog.dropTempView("secret")
 
 
 def test_guard_lets_queries_through(spark):
     assert guard.ask(spark, "WITH a AS (SELECT id FROM t) SELECT id, 'drop' AS w FROM a LIMIT 3", {"t": spark.range(9)}).count() == 3
     with pytest.raises(guard.Refused):
         guard.ask(spark, "SELECT * FROM other", {"t": spark.range(1)})
+    spark.range(5).createOrReplaceTempView("t")
+    assert guard.ask(spark, "SELECT 'a--b' AS x, t.id FROM t JOIN u ON t.id = u.id -- both", {"t": spark.range(9), "u": spark.range(4)}, most_rows=3).count() == 3
+    assert spark.table("t").count() == 5 and not spark.catalog.tableExists("u")  # the session's own views are as before
+    spark.catalog.dropTempView("t")

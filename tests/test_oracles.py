@@ -29,7 +29,7 @@ def test_same_rows(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
     if name not in plans.ORACLES:
-        assert got or not columns == [], name
+        assert got and len(set(got)) > 1, name  # without SQL: the unit tests hold it
         return
     result = duck.execute(plans.ORACLES[name])
     names = [d[0] for d in result.description]

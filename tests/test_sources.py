@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from filigree.sources import delimited, html_pages, sinks, xml_filing
@@ -51,13 +52,22 @@ def test_html(spark):
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
-    assert sorted(tuple(r) for r in sinks.upserted(old, new.where("v <> 'e'"), ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(tuple(r) for r in sinks.upserted(old, new, ["k"], [F.desc("v")]).collect()) == [(1, "a"), (2, "c"), (3, "e")]
     assert sorted(tuple(r) for r in sinks.first_wins(old, new, ["k"], [F.col("v")]).collect()) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(tuple(r) for r in sinks.replaced_children(old, new, "k").collect()) == [(1, "a"), (2, "c"), (3, "d"), (3, "e")]
     target = f"file://{tmp_path}/t"
     for df in (old, new):
         sinks.publish(df, target, lambda d: d.count())
     assert spark.read.parquet(target).count() == 3
+
+    def refuse(df):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        sinks.publish(old, target, refuse)
+    assert spark.read.parquet(target).count() == 3  # what was there stays
+    sinks.export_csv(old, f"file://{tmp_path}/csv")
+    assert sorted(tuple(r) for r in spark.read.csv(f"file://{tmp_path}/csv", header=True).collect()) == [("1", "a"), ("2", "b")]
     sinks.export_batches(spark.range(25), f"file://{tmp_path}/b", ["id"], 10)
     sizes = [len([json.loads(x) for f in p.glob("*.json") for x in f.read_text().splitlines()]) for p in sorted((tmp_path / "b").glob("batch=*"))]
     assert sizes == [10, 10, 5]
