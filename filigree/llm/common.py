@@ -52,11 +52,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: With this setting, shuffle files go as soon as the query that made them ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage."""
+    """Write df as a table in the shared folder and read it back, which cuts its lineage.
+
+    Nothing reads the query's shuffle files once the table is there, so they are removed then.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/filigree-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._filigree_path = path
     return out
