@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+@lru_cache(maxsize=1 << 17)
+def matching_blocks(x: str, y: str) -> float:
+    """Pairs of names repeat, so a worker keeps what it has worked out, for a bounded number of pairs."""
+    return round(SequenceMatcher(None, x, y).ratio(), 4)
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio rounded to four places: 0 if either is empty, 1 if equal. Not symmetric: keep the order."""
@@ -16,6 +23,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float:
         if not x or not y:
             return 0.0
-        return 1.0 if x == y else round(SequenceMatcher(None, x, y).ratio(), 4)
+        return 1.0 if x == y else matching_blocks(x, y)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -47,11 +47,19 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def multiset_digest(df: DataFrame) -> DataFrame:
-    """Row count and two order-independent sums of row hashes."""
-    h = F.struct(*df.columns)
-    return df.select(F.xxhash64(h).alias("x"), F.xxhash64(h, F.lit(1)).alias("y")).agg(
-        F.count("*").alias("n_rows"), F.sum(F.col("x").cast("decimal(38,0)")).alias("sum_1"), F.sum(F.col("y").cast("decimal(38,0)")).alias("sum_2")
-    )
+    """Row count and two order-independent sums of halves of each row's SHA-256, fields told apart by their lengths.
+
+    A half is 120 bits, summed in two limbs of 60, which decimals hold without overflow. No row gives null sums.
+    """
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("n:")) for c in df.columns]
+    h = F.sha2(F.concat(*fields), 256)
+
+    def limb(i: int) -> Column:
+        return F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)"))
+
+    limbs = [limb(i).alias(f"l{i}") for i in range(4)]
+    sums = df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), *limbs)
+    return sums.select("n_rows", F.concat_ws("-", F.col("l0").cast("string"), F.col("l1").cast("string")).alias("sum_1"), F.concat_ws("-", F.col("l2").cast("string"), F.col("l3").cast("string")).alias("sum_2"))
 
 
 def replay_factor(source: DataFrame, copy: DataFrame, keys: Sequence[str]) -> DataFrame:
