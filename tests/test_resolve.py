@@ -21,11 +21,21 @@ def test_tiers_in_order(spark, index):
         (1, "1", "ACME RELIEF INTL", "", "", "", ""), (2, "1", "", "", "", "", ""), (3, "", "BETA HOUSE", "", "", "", "10001"), (4, "", "BETTA HOUZE", "2 OAK AVE", "", "", "10001"), (5, "", "TWIN", "", "Y", "NJ", ""),
         (6, "", "GAMMA CENTER FOR ARTS", "", "", "", ""), (7, "2", "ACME RELIEF", "", "X", "NY", ""), (8, "", "GAMMA CENTRE FOR ARTS", "", "Z", "CA", ""), (9, None, None, None, None, None, None),
     ]
-    got = {r.grant_id: (r.resolved_ein, r.method, r.confidence, r.status) for r in resolve.resolve(spark.createDataFrame(rows, ROWS), index, fuzzy=True).collect()}
-    assert got[1] == ("1", "reported", 0.99, "resolved") and got[2] == ("1", "reported", 0.92, "resolved")
-    assert got[3] == ("2", "name_zip", 0.97, "resolved") and got[4] == ("2", "address_zip", 0.90, "resolved")
-    assert got[5] == (None, "none", 0.0, "unresolved") and got[6] == ("5", "name_unique", 0.88, "resolved")
-    assert got[7] == ("1", "name_city_state", 0.95, "reported_ein_corrected") and got[8][:2] == ("5", "fuzzy") and got[8][2] > 0.92 and got[9][3] == "unresolved"
+    rows += [(10, "99", "BETA HOUSE", "", "", "", "10001"), (11, "", "ACME RELIEV", "2 ELM", "", "", "10001"), (12, "", "GAMMA CENTER FOR THE ARTS", "2 OAK AVE", "", "", "")]
+    rows += [(13, "", "GAMMA CENTER OF ARTS", "5 PINE", "Q", "CA", ""), (14, "", "GAMMA CENTER FOR ARTZ", "9 ASH", "", "", "20002"), (15, "", "NOTHING ALIKE", "9 ASH", "", "", "20002")]
+    shared = [("6", "GAMMA CENTER FOR ART", "9 ASH", "P", "TX", "20002", 2020, "g"), ("7", "DELTA CLUB", "9 ASH", "P", "TX", "20002", 2020, "h")]
+    out = resolve.resolve(spark.createDataFrame(rows, ROWS), index.unionByName(spark.createDataFrame(shared, INDEX)), fuzzy=True).collect()
+    got = {r.grant_id: (r.resolved_ein, r.method, r.confidence, r.status) for r in out}
+    said = {r.grant_id: r.warnings for r in out}
+    assert got[1] == ("1", "reported_ein_known_name_agrees", 0.99, "ein_exact") and got[2] == ("1", "reported_ein_known_no_name_to_validate", 0.92, "ein_exact")
+    assert got[3] == ("2", "name_zip_exact", 0.97, "name_address_high_confidence") and got[4][:2] == ("2", "address_zip_unique") and got[4][3] == "address_unique"
+    assert got[4][2] == pytest.approx(0.95) and said[4] == []  # similar from 0.72 on: 0.05 more
+    assert got[5] == (None, "none", 0.0, "unresolved") and got[6] == ("5", "name_unique_national_exact", 0.88, "name_exact")
+    assert got[7] == ("1", "name_city_state_exact", 0.95, "possible_bad_ein_corrected") and said[7] == ["reported_ein_name_disagrees", "reported_ein_points_to=BETA HOUSE"]
+    assert got[8][:2] == ("5", "fuzzy_name_within_city_state") and 0.88 < got[8][2] <= 0.93 and got[8][3] == "fuzzy_probable" and got[9][3] == "unresolved"
+    assert got[10] == ("2", "name_zip_exact", 0.97, "reported_ein_not_found_name_matched") and said[10] == ["reported_ein_not_found_in_returns"]
+    assert got[13][:2] == ("5", "fuzzy_name_within_state") and got[14][1] == "address_zip_name_within_address" and got[14][3] == "address_narrowed_name_match" and said[14] == ["multiple_eins_at_address"]
+    assert got[15][0] is None and said[15] == ["multiple_eins_at_address"]
 
 
 def test_candidates_and_decisions(spark, index):
