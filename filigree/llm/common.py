@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the tables that written() makes inside, so that all can be discarded once nothing reads them."""
+    made: list[DataFrame] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.reset(token)
+
+
 #: With this setting, shuffle files go as soon as the query that made them ends.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,6 +87,8 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
         spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._filigree_path = path
+    if (made := _SCRATCH.get()) is not None:
+        made.append(out)
     return out
 
 
