@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 class Layout:
     """Where values are. A path is local tag names from the root with `*` for any; of several the first non-blank counts.
 
+    `//A|B` is any descendant, in document order, of one of these names, whose case doesn't count; `//P//C` one within another.
+
     header: column to paths, where `required` must be present. groups: name to (path of a row, column to path within it).
     """
 
@@ -28,12 +31,65 @@ def local(tag: str) -> str:
 
 
 def nodes(root: ElementTree.Element, path: str) -> list[ElementTree.Element]:
-    found = [root]
-    for step in path.strip("/").split("/"):
-        found = [child for node in found for child in node if step in ("*", local(child.tag))]
+    found, steps, deep = [root], path.split("/"), False
+    for i, step in enumerate(steps):
+        if not step:
+            deep = 0 < i  # an empty step behind the first slash: the next name is looked for at any depth
+        elif deep:
+            names, deep = {n.lower() for n in step.split("|")}, False
+            found = [n for top in found for n in top.iter() if n is not top and local(n.tag).lower() in names]
+        else:
+            found = [child for node in found for child in node if step in ("*", local(child.tag))]
     return found
 
 
+#: Columns whose tags don't follow from their names, beside the one that would.
+TAGS = {
+    "zipcd": ("ZIPCd",), "recipient_ein": ("RecipientEIN", "EIN"), "ein": ("EIN",), "ptin": ("PTIN",), "boyamt": ("BOYAmt",), "eoyamt": ("EOYAmt",), "ubicode_vamt": ("UBICodeVAmt",),
+    "attr_organization501c_type_txt": ("Organization501cTypeTxt", "AttrOrganization501cTypeTxt"), "direct_controlling_nacd": ("DirectControllingNACd",), "mission_desc_txt": ("RestrictionsOnAwardsTxt",),
+    "employee_benefits_amt": ("EmployeeBenefitProgramAmt",), "expense_account_amt": ("ExpenseAccountOtherAllwncAmt",), "form1120_pol_filed_ind": ("Form1120POLFiledInd",),
+    "interest_on_savings_temp_cash_investments_rev_and_expnss_amt": ("InterestOnSavingsTempCashInvstRevAndExpnssAmt",),
+}
+#: Amounts whose tag several groups of Schedule C share, with the group that each belongs to.
+OWN, AVERAGE_LOBBYING, AVERAGE_GRASSROOTS = "FilingOrganizationsTotalAmt", "AvgLobbyingNontaxableAmountGrp", "AvgGrassrootsNontaxableGrp"
+SCHEDULE_C_AMOUNTS = {
+    "total_grassroots_lobbying_amt": ("TotalGrassrootsLobbyingGrp", OWN), "total_direct_lobbying_amt": ("TotalDirectLobbyingGrp", OWN), "total_lobbying_expend_grp_amt": ("TotalLobbyingExpendGrp", OWN),
+    "other_exempt_purpose_expend_amt": ("OtherExemptPurposeExpendGrp", OWN), "total_exempt_purpose_expenditures_amt": ("TotalExemptPurposeExpendGrp", OWN), "lobbying_nontaxable_amt": ("LobbyingNontaxableAmountGrp", OWN),
+    "grassroots_nontaxable_amt": ("GrassrootsNontaxableGrp", OWN), "lobbying_grassroots_excess_amt": ("TotLbbyngGrassrootMnsNonTxGrp", OWN), "lobbying_excess_amt": ("TotLbbyExpendMnsLbbyngNonTxGrp", OWN),
+    "avg_lobbying_nontaxable_current_amt": (AVERAGE_LOBBYING, "CurrentYearAmt"), "avg_lobbying_nontaxable_total_amt": (AVERAGE_LOBBYING, "TotalAmt"),
+    "avg_grassroots_nontaxable_current_amt": (AVERAGE_GRASSROOTS, "CurrentYearAmt"), "avg_grassroots_nontaxable_total_amt": (AVERAGE_GRASSROOTS, "TotalAmt"),
+} | {
+    f"avg_{name}_nontaxable_minus{n}_amt": (group, f"CurrentYearMinus{n}Amt") for name, group in (("lobbying", AVERAGE_LOBBYING), ("grassroots", AVERAGE_GRASSROOTS)) for n in (1, 2, 3)
+}
+
+
+def tags(column: str) -> tuple[str, ...]:
+    """Candidate tags of a column: its name in camel case, then others it is known by."""
+    return tuple(dict.fromkeys(("".join(p.capitalize() for p in column.split("_")), *TAGS.get(column, ()))))
+
+
+def anywhere(*columns: str) -> dict[str, tuple[str, ...]]:
+    """Columns with the path of the first descendant that has one of their tags."""
+    return {c: (f"//{'|'.join(tags(c))}",) for c in columns}
+
+
+def schedule_c(*columns: str) -> dict[str, tuple[str, ...]]:
+    """Columns of Schedule C: amounts under their own group, anything else anywhere in the schedule."""
+    scoped = {c: (f"//{group}//{tag}",) for c, (group, tag) in SCHEDULE_C_AMOUNTS.items()}
+    return anywhere(*columns) | scoped
+
+
+def without_placeholders(rows: DataFrame, amount: str = "cash_grant_amt", ignored: tuple[str, ...] = ("filing_id", "row_no")) -> DataFrame:
+    """Recipient rows that say something: not those that are blank, or hold nothing but an amount of zero."""
+    others = [c for c in rows.columns if c not in (amount, *ignored)]
+
+    def filled(c: str) -> Column:
+        return F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+
+    zero = F.coalesce(F.expr(f"try_cast(regexp_replace(`{amount}`, '[,$]', '') AS double)") == 0, F.lit(False))
+    return rows.where(reduce(lambda a, b: a | b, map(filled, others), filled(amount) & ~zero))
+
+
 def first_text(root: ElementTree.Element, paths: tuple[str, ...]) -> str | None:
     return next((t for p in paths for n in nodes(root, p) if (t := (n.text or "").strip())), None)
 

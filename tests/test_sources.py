@@ -80,3 +80,17 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         follow(spark, source, df.schema, target, "k", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_tags_and_scoped_amounts(spark):
+    assert xml_filing.tags("cash_grant_amt") == ("CashGrantAmt",) and xml_filing.tags("recipient_ein") == ("RecipientEin", "RecipientEIN", "EIN")
+    xml = b"<r><A><FilingOrganizationsTotalAmt>1</FilingOrganizationsTotalAmt></A><TotalLobbyingExpendGrp><z><FILINGOrganizationsTotalAmt>2</FILINGOrganizationsTotalAmt></z></TotalLobbyingExpendGrp><PoliticalExpendituresAmt> </PoliticalExpendituresAmt><q><PoliticalExpendituresAmt>5</PoliticalExpendituresAmt></q></r>"
+    header, _, error = xml_filing.parse(xml, xml_filing.Layout(header=xml_filing.schedule_c("political_expenditures_amt")))
+    assert error is None and header["total_lobbying_expend_grp_amt"] == "2" and header["total_direct_lobbying_amt"] is None and header["political_expenditures_amt"] == "5"
+
+
+def test_placeholder_grants(spark):
+    """Zero alone isn't a grant; zero with anything else is, and so is a row without an amount."""
+    rows = [("a", "0", None), ("b", "0.00", " "), ("c", "0", "x"), ("d", None, "y"), ("e", None, ""), ("f", "5", None), ("g", "none", None)]
+    df = spark.createDataFrame(rows, "filing_id string, cash_grant_amt string, purpose string")
+    assert sorted(r.filing_id for r in xml_filing.without_placeholders(df).collect()) == ["c", "d", "f", "g"]
