@@ -32,6 +32,48 @@ def person_scored(normal: Column) -> Column:
     return (F.length(normal) >= 5) & (F.size(F.split(normal, " ")) >= 2)
 
 
+# Names that name nobody, and which of the six related-organisation tables count when the number is exact.
+NOBODY = ("", "N A", "NA", "NONE", "UNKNOWN", "VARIOUS", "SEE SCHEDULE")
+RELATED_TABLES = (
+    ("schedule_r_related_tax_exempt", True), ("schedule_r_related_taxable_corp_trust", True), ("schedule_r_related_taxable_partnership", True),
+    ("schedule_r_unrelated_taxable_partnership", False), ("schedule_r_disregarded_entity", False), ("schedule_r_related_transaction", False),
+)
+
+
+def person_edges(rows: DataFrame, *, source: str, row_id: Column) -> DataFrame:
+    """Edges to persons of a table of people (ein, tax_year, name): a telling full name counts, others are kept apart."""
+    named = rows.withColumn("__n", network_name(F.col("name"))).where("__n <> ''")
+    strong = person_scored(F.col("__n")) & ~F.col("__n").isin(*NOBODY, "NOT APPLICABLE")
+    return edges(named, kind="person_role", source=source, row_id=row_id, target=F.concat(F.lit("person:"), "__n"), confidence=F.when(strong, 0.90).otherwise(0.55), scored=strong)
+
+
+def contractor_edges(rows: DataFrame, *, source: str, row_id: Column) -> DataFrame:
+    """Edges to contractors (ein, tax_year, name)."""
+    named = rows.withColumn("__n", network_name(F.col("name"))).where("__n <> ''")
+    strong = (F.length("__n") >= 4) & ~F.col("__n").isin(*NOBODY)
+    return edges(named, kind="contractor_payment", source=source, row_id=row_id, target=F.concat(F.lit("contractor:"), "__n"), confidence=F.when(strong, 0.88).otherwise(0.50), scored=strong)
+
+
+def related_edges(rows: DataFrame, *, kind: str, counts: bool, source: str, row_id: Column) -> DataFrame:
+    """Edges to related organisations (ein, tax_year, related_ein, name1, name2): by number, else by name, which never counts."""
+    number = F.regexp_replace(F.coalesce(F.col("related_ein").cast("string"), F.lit("")), "[^0-9]", "")
+    exact = F.length(number) == 9
+    name = network_name(F.concat_ws(" ", *(F.nullif(F.trim(c), F.lit("")) for c in ("name1", "name2"))))
+    target = F.when(exact, F.concat(F.lit("ein:"), number)).when(name != "", F.concat(F.lit("schedr-name:"), name))
+    return edges(rows, kind=kind, source=source, row_id=row_id, target=target, confidence=F.when(exact, 1.0).otherwise(0.60), scored=exact & F.lit(counts))
+
+
+def integrity_faults(all_edges: DataFrame) -> DataFrame:
+    """(fault, edge_id) of edges that a finished graph may not hold; an empty result is a pass."""
+    checks = {
+        "repeated edge": F.col("__n") > 1, "no source": F.col("source_ein").isNull(), "confidence outside 0 to 1": ~F.col("confidence").between(0, 1) | F.col("confidence").isNull(),
+        "number of other than nine digits": F.col("target_key").startswith("ein:") & ~F.col("target_key").rlike("^ein:[0-9]{9}$"), "name only, yet scored": F.col("target_key").startswith("schedr-name:") & F.col("scored"),
+    }
+    counted = all_edges.groupBy("edge_id").agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in ("source_ein", "confidence", "target_key", "scored")))
+    faults = F.array(*(F.when(c, F.lit(n)) for n, c in checks.items()))
+    return counted.select(F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"), "edge_id")
+
+
 def node_stats(all_edges: DataFrame, hub_over: Column | None = None) -> DataFrame:
     """By target: distinct organisations, edges, years, and whether it is a hub (strictly above the limit)."""
     kind = F.split_part("target_key", F.lit(":"), F.lit(1))
