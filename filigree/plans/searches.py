@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.functions import search
+from filigree.functions import paths, search
 from filigree.operators import aggs, risk_families, unions, views, windows
 from filigree.plans.filings import canonical
 from filigree.plans.risk_families import HEAD, RES, resolved
@@ -357,3 +357,15 @@ def enhanced_outcomes(spark: SparkSession, d: str) -> DataFrame:
     known = F.trim(F.coalesce("resolved_ein", F.lit(""))) != ""
     outcome = F.when(F.col("source") == "ai", "accepted").when(F.col("match_status") == "conflicting_ein_match", "review").when(known, "match").when(F.col("match_status") == "unresolved", "no_match").otherwise("pending")
     return resolved(spark, d).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.sum("total_amount"), 2).alias("amount"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/' || p_partkey || '.xml' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'b/c' END AS portable, CASE p_partkey % 4 WHEN 0 THEN 'a/' || p_partkey || '.xml' WHEN 1 THEN 'x/' || p_partkey WHEN 3 THEN 'b/c' END AS hint,
+  CASE p_partkey % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'real' WHEN 2 THEN 'text' ELSE 'null' END AS kind, CASE p_partkey % 4 WHEN 0 THEN p_partkey END AS whole, CASE p_partkey % 4 WHEN 1 THEN p_partkey + 0.5 END::DOUBLE AS real FROM part"""
+)
+def paths_and_affinity(spark: SparkSession, d: str) -> DataFrame:
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    path = F.when(k == 0, F.concat(F.lit("a//./"), key, F.lit(".xml"))).when(k == 1, F.concat(F.lit("C:\\x\\"), key)).when(k == 2, "../up").otherwise(" b\\c ")
+    value = F.when(k == 0, F.concat(F.lit(" "), key, F.lit(".00"))).when(k == 1, F.concat(key, F.lit(".5"))).when(k == 2, F.concat(key, F.lit("-x")))
+    typed = paths.numeric_affinity(value)
+    return table(spark, d, "part").select("p_partkey", paths.portable_path(path).alias("portable"), paths.path_hint(path).alias("hint"), typed["kind"].alias("kind"), typed["whole"].alias("whole"), typed["real"].alias("real"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.functions import search
+from filigree.functions import paths, search
 from filigree.operators import risk, risk_families, views
 
 
@@ -45,3 +45,25 @@ def test_budget_keeps_the_first_branch_first(spark):
     a, b = spark.range(5).toDF("v"), spark.range(3, 9).toDF("v")
     assert [r.v for r in views.within_budget([(a, [F.desc("v")]), (b, [F.col("v")])], 7).collect()] == [4, 3, 2, 1, 0]
     assert views.within_budget([(a, [F.desc("v")]), (b.limit(0), [F.col("v")])], 2).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("path", "portable", "hint"),
+    [("a//b/./c.xml", "a/b/c.xml", "a/b/c.xml"), ("a\\b.xml", "a/b.xml", "a/b.xml"), ("/a/b", None, "a/b"), ("C:/a/b", None, "a/b"), ("a/../b", None, None), ("", None, None), (None, None, None), ("C:", None, None)],
+)
+def test_paths(spark, path, portable, hint):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert tuple(df.select(paths.portable_path(F.col("p")), paths.path_hint(F.col("p"))).first()) == (portable, hint)
+
+
+def test_values_by_affinity(spark):
+    rows = [(None, ("null", None, None, None)), ("12", ("integer", 12, None, None)), (" 1.0 ", ("integer", 1, None, None)), ("1e3", ("integer", 1000, None, None)), ("1.5", ("real", None, 1.5, None)), ("9223372036854775808", ("real", None, 9223372036854775808.0, None)), ("x1", ("text", None, None, "x1")), (" ", ("text", None, None, " ")), ("NaN", ("text", None, None, "NaN"))]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "i int, v string").select("i", paths.numeric_affinity(F.col("v")).alias("a"))
+    assert [tuple(r.a) for r in df.orderBy("i").collect()] == [w for _, w in rows]
+
+
+def test_client_names(spark):
+    rows = [("Acme Relief Inc", "THE ACME RELIEF", "NY", "ny", "exact"), ("Acme Relief", "Acme Relief Fund", "", "CA", ""), ("Acme Relief Guild West", "Acme Relief Guild East West", "NY", None, "strong"), ("Acme", "Acme", "NY", "CA", ""), ("Inc", "Acme", "", "", ""), ("Foundations of Light", "Foundation of Lights", "", "", "strong")]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, q string, k string, s string, t string")
+    got = [r[0] for r in df.orderBy("i").select(paths.client_strength(F.col("q"), F.col("k"), F.col("s"), F.col("t"))).collect()]
+    assert got == [r[4] for r in rows]
