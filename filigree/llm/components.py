@@ -18,15 +18,17 @@ Step = Callable[[DataFrame], DataFrame]
 class Verifier:
     """How pairs of some ids are judged.
 
-    confirm turns pairs (a, b) into those that are links. sketch turns ids (id) into (id, sketch),
-    and agree(key, x, y) is false only where two sketches rule a link out, or say that the
-    pair shares another bucket in which it is judged. narrow leaves out pairs that are no links by
-    finer sketches, where many are expected. close frees what was read.
+    confirm turns pairs (a, b) into those that are links. sketch turns ids (id) into (id, sketch);
+    parts gives a sketch's values place by place, and likely(x, y) is false only where two sketches rule
+    a link out. once(key, x, y) is true in one of the buckets that a pair shares. narrow leaves out pairs
+    that are no links by finer sketches, where many are expected. close frees what was read.
     """
 
     confirm: Step
     sketch: Step
-    agree: Callable[[Column, Column, Column], Column]
+    parts: Callable[[Column], Column]
+    likely: Callable[[Column, Column], Column]
+    once: Callable[[Column, Column, Column], Column]
     narrow: Step = lambda pairs: pairs
     close: Callable[[], None] = lambda: None
 
@@ -81,18 +83,18 @@ def fewest(n: int, p: float) -> int:
     return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
-def bits_agree(percent: int) -> Callable[[Column, Column, Column], Column]:
+def bits_agree(percent: int) -> Callable[[Column, Column], Column]:
     """For sketches of SKETCH_LONGS longs, one bit of each of many minima."""
     bits = 64 * SKETCH_LONGS
     most = bits - fewest(bits, (1 + percent / 100) / 2)
-    return lambda _, x, y: reduce(lambda s, t: s + t, (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_LONGS))) <= most
+    return lambda x, y: reduce(lambda s, t: s + t, (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_LONGS))) <= most
 
 
 #: One id in SAMPLED is counted to find hot buckets, which are dealt to PARTS tasks; a bucket is hot
 #: from about SAMPLED * HOT members on. This decides where rows go and nothing else; buckets beyond the MOST hottest go to one task each.
 SAMPLED, HOT, PARTS, MOST = 256, 40, 64, 100_000
 #: Members of a bucket that meet in one task at a time, and members of its largest component that the others are held against first.
-BLOCK, PICKS = 1024, 8
+BLOCK, PICKS = 1024, 4
 
 
 def dealt_members(members: DataFrame) -> DataFrame:
@@ -110,9 +112,10 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier]) -> Data
     members (key, id) says which ids share a bucket; prepare makes a verifier for the ids that do.
     Any two members of a bucket end in one component or are found not to be linked, yet a
     bucket's pairs aren't all made: first every member is held against the smallest of its bucket, or
-    of its part of a hot one. In buckets that then still hold several components, those outside
-    the largest are held against a few members of that, and in what is still mixed, against all
-    members of other components, unless sketches rule a link out. Members that repeat do no harm.
+    of its part of a hot one. In buckets that then still hold several components, members are held
+    against the most central one, to which edited copies of one text are all nearer than to each other, and
+    those outside the largest component against a few members of that; in what is still mixed, against
+    all members of other components, unless sketches rule a link out. Members that repeat do no harm.
     """
     dealt = dealt_members(members)
     first = dealt.groupBy("key", "part").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1 or part >= 0")
@@ -134,16 +137,21 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier]) -> Data
         sizes = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("n"), F.max_by("c", F.struct("size", "c")).alias("largest"))
         return rows.join(sizes, "key")
 
-    agree = verifier.agree(F.col("key"), F.col("sketch_a"), F.col("sketch_b"))
+    def central(rows: DataFrame) -> DataFrame:
+        """(key, a, ca): the member of each bucket whose sketch agrees most with what is most frequent place by place."""
+        each = rows.join(sketches, "id").select("key", "id", "c", F.posexplode(verifier.parts(F.col("sketch"))).alias("place", "value"))
+        modes = each.groupBy("key", "place", "value").agg(F.count("*").alias("n")).groupBy("key", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+        agreed = each.join(modes, ["key", "place", "value"]).groupBy("key", "id", "c").agg(F.count("*").alias("m"))
+        return agreed.groupBy("key").agg(F.max_by(F.struct("id", "c"), F.struct("m", "id")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.c").alias("ca"))
 
     def against_picks(rows: DataFrame) -> DataFrame:
-        """Links of those outside a bucket's largest component with a few members of that."""
+        """Links of members with their bucket's central one, and of those outside its largest component with a few of that."""
         picks = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PICKS)]
-        some = rows.where("c = largest").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("picks")).select("key", F.explode("picks").alias("a"))
-        met = rows.where("c != largest").join(some, "key").select("key", "a", F.col("id").alias("b"))
+        some = rows.where("c = largest").groupBy("key", "largest").agg(F.array_distinct(F.array(*picks)).alias("picks")).select("key", F.explode("picks").alias("a"), F.col("largest").alias("ca"))
+        met = rows.join(central(rows).unionByName(some), "key").where("c != ca").select("a", F.col("id").alias("b")).distinct()
         for side in "ab":
             met = met.join(sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-        return verifier.confirm(met.where(agree).select("a", "b").distinct())
+        return verifier.confirm(met.where(verifier.likely(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"))
 
     def against_all(rows: DataFrame) -> DataFrame:
         """Links of those outside a bucket's largest component with members of any other component, in blocks."""
@@ -152,7 +160,8 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Verifier]) -> Data
         own = [c for c in about.columns if c not in ("key", "n", "largest")]
         rest = about.where("c != largest").select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in own), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
         every = about.select("key", *(F.col(c).alias(f"{c}_b") for c in own), F.pmod(F.xxhash64("id"), blocks).alias("block"))
-        met = rest.join(every, ["key", "block"]).where("c_a != c_b and (c_b = largest or id_a < id_b)").where(agree)
+        met = rest.join(every, ["key", "block"]).where("c_a != c_b and (c_b = largest or id_a < id_b)")
+        met = met.where(verifier.likely(F.col("sketch_a"), F.col("sketch_b")) & verifier.once(F.col("key"), F.col("sketch_a"), F.col("sketch_b")))
         return verifier.confirm(verifier.narrow(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()))
 
     left, sketches = shared, None

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm.common import discard, table, written
@@ -160,7 +160,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, *, width: int, percent: int) ->
                 part = pdf.iloc[at : at + 200]
                 sig = signatures([shingle_set(t, width, words) for t in part["text"]], 64 * SKETCH_LONGS)
                 bits = np.packbits((sig & U64(1)).astype(np.uint8), axis=1).view(np.int64)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "sketch": list(bits)})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "bits": list(bits)})
 
     def prepare(ids: DataFrame) -> Verifier:
         wanted = reps.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("__doc"), F.col("first.tag").alias("__tag"))
@@ -173,9 +173,18 @@ def confirmed(docs: DataFrame, reps: DataFrame, *, width: int, percent: int) ->
             return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long").distinct()
 
         def sketch(some: DataFrame) -> DataFrame:
-            return texts.join(some, "id", "left_semi").mapInPandas(draw, "id long, sketch array<long>").dropDuplicates(["id"])
+            bits = texts.join(some, "id", "left_semi").mapInPandas(draw, "id long, bits array<long>").dropDuplicates(["id"])
+            return bits.join(reps.select("id", "keys"), "id").select("id", F.struct("bits", "keys").alias("sketch"))
 
-        return Verifier(confirm, sketch, bits_agree(percent), close=lambda: discard(texts))
+        alike = bits_agree(percent)
+
+        def likely(x: Column, y: Column) -> Column:
+            return alike(x["bits"], y["bits"])
+
+        def once(key: Column, x: Column, y: Column) -> Column:
+            return F.array_min(F.array_intersect(x["keys"], y["keys"])) == key
+
+        return Verifier(confirm, sketch, lambda s: s["keys"], likely, once, close=lambda: discard(texts))
 
     return prepare
 
