@@ -1,7 +1,7 @@
 """The library's queries on the driver's tables, with SQL that must give the same rows."""
 
-from filigree.plans import audits, filings, graph, ingest, names, network, resolution, risk_families, searches
+from filigree.plans import audits, filings, graph, ingest, migration, names, network, resolution, risk_families, searches
 
-MODULES = (filings, names, network, ingest, risk_families, searches, audits, resolution, graph)
+MODULES = (filings, names, network, ingest, risk_families, searches, audits, resolution, graph, migration)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in MODULES for name, s in m.ORACLES.items()}
