@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators import resolve
+from filigree.operators import resolve, retrieval
 from filigree.plans.roles import table, with_
 
 IDX = """idx AS (SELECT CAST(s_suppkey AS VARCHAR) AS ein, repeat(chr(CAST(65 + s_suppkey % 26 AS INTEGER)), 6) AS name, 'ADDR' || (s_suppkey % 13) AS address, 'C' || s_nationkey AS city, 'S' || (s_nationkey % 5) AS state, 'Z' || (s_suppkey % 17) AS zip5 FROM supplier)"""
@@ -85,5 +85,57 @@ def resolve_recipients(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(rows, index).select("grant_id", "resolved_ein", "method", "confidence", "status")
 
 
-QUERIES = {"resolve_recipients": resolve_recipients}
-ORACLES = {"resolve_recipients": SQL}
+IDENTITIES = """i AS (SELECT o_orderkey AS identity_id, CAST(o_custkey AS VARCHAR) AS ein, 'N' || (o_custkey % 97) AS name, CASE WHEN o_orderkey % 9 <> 0 THEN 'A' || (o_orderkey % 23) END AS address, 'C' || (o_custkey % 25) AS city,
+  'S' || (o_custkey % 5) AS state, CASE WHEN o_orderkey % 8 <> 0 THEN 'Z' || (o_orderkey % 10) END AS zip5, o_orderkey % 4 AS source_rank, year(o_orderdate) AS tax_year, CAST(o_custkey AS VARCHAR) AS reported_ein FROM orders)"""
+SIGNATURES = """s AS (SELECT p_partkey AS signature, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS reported_ein, CASE WHEN p_partkey % 7 <> 0 THEN 'N' || (p_partkey % 101) END AS name, CASE WHEN p_partkey % 5 <> 0 THEN 'A' || (p_size % 23) END AS address,
+  CASE WHEN p_partkey % 4 <> 0 THEN 'C' || (p_partkey % 25) END AS city, CASE WHEN p_partkey % 11 <> 0 THEN 'S' || (p_partkey % 5) END AS state, CASE WHEN p_size % 2 = 0 THEN 'Z' || (p_size % 10) END AS zip5 FROM part)"""
+
+
+def lookup_sql(keys: tuple[str, ...], most: int) -> str:
+    k = ", ".join(keys)
+    return f"SELECT signature, identity_id FROM s JOIN (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY source_rank, tax_year DESC, identity_id) <= {most}) x USING ({k})"
+
+
+NINE = (
+    (("reported_ein",), 75), (("name", "address", "zip5"), 50), (("name", "address", "city", "state"), 50), (("name", "zip5"), 50), (("name", "city", "state"), 50), (("address", "zip5"), 100), (("address", "city", "state"), 100),
+    (("name", "state"), 75), (("name",), 75),
+)
+
+
+def looked_up(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as signatures and orders as identities, as in SIGNATURES and IDENTITIES."""
+    o, c, p, z = (F.col(x) for x in ("o_orderkey", "o_custkey", "p_partkey", "p_size"))
+    identities = table(spark, d, "orders").select(
+        o.alias("identity_id"), c.cast("string").alias("ein"), named("N", c % 97).alias("name"), F.when(o % 9 != 0, named("A", o % 23)).otherwise("").alias("address"), named("C", c % 25).alias("city"), named("S", c % 5).alias("state"),
+        F.when(o % 8 != 0, named("Z", o % 10)).alias("zip5"), (o % 4).alias("source_rank"), F.year("o_orderdate").alias("tax_year"),
+    )
+    signatures = table(spark, d, "part").select(
+        p.alias("signature"), F.when(p % 3 == 0, p.cast("string")).alias("reported_ein"), F.when(p % 7 != 0, named("N", p % 101)).alias("name"), F.when(p % 5 != 0, named("A", z % 23)).otherwise("").alias("address"),
+        F.when(p % 4 != 0, named("C", p % 25)).alias("city"), F.when(p % 11 != 0, named("S", p % 5)).alias("state"), F.when(z % 2 == 0, named("Z", z % 10)).alias("zip5"),
+    )
+    return signatures, identities
+
+
+def candidate_lookups(spark: SparkSession, d: str) -> DataFrame:
+    signatures, identities = looked_up(spark, d)
+    keys = ["reported_ein", "name", "address", "city", "state", "zip5"]
+    return resolve.lookups(resolve.blank_as_null(signatures, keys), resolve.blank_as_null(identities, keys))
+
+
+# every name begins with one common word; places are sizes
+WORDS_SQL = """WITH n AS (SELECT p_partkey AS k, p_size AS place, list_concat(['ALL'], string_split(upper(p_name), ' ')) AS w, p_partkey % 3 AS source_rank FROM part),
+q AS (SELECT k, place, unnest(list_distinct(list_concat([w[len(w)]], w[1:3]))) AS t FROM n), e AS (SELECT k AS entry, place, source_rank, unnest(list_distinct(w)) AS t FROM n),
+h AS (SELECT q.k AS query, entry, source_rank, count(*) AS hits FROM q JOIN e USING (place, t) GROUP BY q.k, entry, source_rank)
+SELECT query, entry, CAST(hits AS INTEGER) AS hits, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, source_rank, entry) AS r FROM h) WHERE r <= 20"""
+
+
+def shared_words(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 parts of a size that share most words with each, by their last word and the first three."""
+    w = F.concat(F.array(F.lit("ALL")), F.split(F.upper("p_name"), " "))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("entry"), F.col("p_partkey").alias("query"), F.col("p_size").alias("place"), w.alias("tokens"), (F.col("p_partkey") % 3).alias("source_rank"))
+    asked = parts.select("query", "place", F.array_distinct(F.concat(F.array(F.element_at("tokens", -1)), F.slice("tokens", 1, 3))).alias("tokens"))
+    return retrieval.shared_tokens(asked, parts, query="query", entry="entry", tokens="tokens", place="place", order=["source_rank", "entry"], k=20)
+
+
+QUERIES = {"resolve_recipients": resolve_recipients, "candidate_lookups": candidate_lookups, "shared_words": shared_words}
+ORACLES = {"resolve_recipients": SQL, "candidate_lookups": with_(IDENTITIES, SIGNATURES) + "SELECT DISTINCT * FROM (" + " UNION ALL ".join(lookup_sql(*n) for n in NINE) + ")", "shared_words": WORDS_SQL}
