@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import aggs, compliance, joins, network, risk
+from filigree.plans import graph
 from filigree.plans.roles import FLOWS, GRANTS, PAIRS, RETURNS, flows, grant_pairs, grants, returns, table, with_
 
 QUERIES, ORACLES = {}, {}
@@ -68,20 +71,42 @@ def compliance_expectations(spark: SparkSession, d: str) -> DataFrame:
     return compliance.expectations(reports(spark, d), orgs, F.lit("2002-06-30").cast("date"))
 
 
-EDGES = """edges AS (
-  SELECT sha256(concat_ws(chr(31), 'grants', CAST(filing_id AS VARCHAR), 'grant_paid', CAST(ein AS VARCHAR), 'ein:' || recipient)) AS edge_id, 'grant_paid' AS edge_type, ein AS source_ein, 'ein:' || recipient AS target_key, tax_year,
-    CASE WHEN amount > 50000 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, amount > 50000 AS scored FROM pairs JOIN returns USING (filing_id)
-  UNION ALL SELECT sha256(concat_ws(chr(31), 'filers', CAST(c_custkey AS VARCHAR), 'filed_address', CAST(c_custkey AS VARCHAR), t)), 'filed_address', c_custkey, t, 2000, 1.0, true
-    FROM (SELECT c_custkey, 'address:' || substr(sha256(concat_ws('|', CAST(c_nationkey AS VARCHAR), c_mktsegment)), 1, 32) AS t FROM customer))"""
+def edge_sql(source: str, row: str, kind: str, target: str, confidence: str, scored: str, rows: str) -> str:
+    made = f"sha256(concat_ws(chr(31), {source}, {row}, {kind}, CAST(ein AS VARCHAR), {target})) AS edge_id, {kind} AS edge_type, ein AS source_ein, {target} AS target_key, tax_year, {confidence}::DOUBLE AS confidence, {scored} AS scored"
+    return f"SELECT {made} FROM {rows}"
+
+
+ROW = "concat_ws('-', CAST(filing_id AS VARCHAR), CAST(recipient AS VARCHAR), CAST(part AS VARCHAR), CAST(cash AS VARCHAR))"
+LINES = "lines AS (SELECT ein, tax_year, filing_id, recipient, part, cash FROM grants JOIN returns USING (filing_id))"
+# five kinds of edges: grants, people, contractors, related organisations, addresses
+EDGES = ",\n".join((
+    LINES,
+    """gr AS (SELECT *, CASE WHEN recipient % 10 = 0 THEN 'orgname:CAFE ORG ' || recipient ELSE 'ein:' || lpad(CAST(recipient AS VARCHAR), 9, '3') END AS t, CASE WHEN amount > 50000 THEN 0.9 ELSE 0.7 END AS c FROM pairs JOIN returns USING (filing_id))""",
+    "pe AS (SELECT *, CASE part % 9 WHEN 0 THEN 'NONE' WHEN 1 THEN '' WHEN 2 THEN 'SOLO' || (part % 50) WHEN 3 THEN 'NOT APPLICABLE' ELSE 'JO SMITH ' || (part % 50) END AS nm FROM lines)",
+    "co AS (SELECT *, CASE recipient % 7 WHEN 0 THEN 'VARIOUS' WHEN 1 THEN '' WHEN 2 THEN 'ABC' ELSE 'BUILD IT ' || (recipient % 50) END AS nm FROM lines)",
+    """re AS (SELECT *, ['schedule_r_related_tax_exempt', 'schedule_r_related_taxable_corp_trust', 'schedule_r_related_taxable_partnership', 'schedule_r_unrelated_taxable_partnership', 'schedule_r_disregarded_entity', 'schedule_r_related_transaction'][part % 6 + 1] AS kind,
+  CASE WHEN part % 3 = 0 THEN 'ein:12' || lpad(CAST(recipient AS VARCHAR), 7, '0') END AS e, trim(CASE WHEN recipient % 4 <> 0 THEN 'SISTER ORG' ELSE '' END || CASE WHEN recipient % 2 = 0 THEN ' UNIT ' || (recipient % 10) ELSE '' END) AS nm FROM lines)""",
+    "ad AS (SELECT c_custkey AS ein, 2000 AS tax_year, 'address:' || substr(sha256(concat_ws('|', CAST(c_nationkey AS VARCHAR), c_mktsegment)), 1, 32) AS t FROM customer)",
+    "edges AS (" + " UNION ALL ".join((
+        edge_sql("'grants'", "CAST(filing_id AS VARCHAR)", "'grant_paid'", "t", "c", "recipient % 10 <> 0 AND amount > 50000 AND (recipient % 3 = 0 OR recipient % 7 > 1)", "gr"),
+        edge_sql("'officers'", ROW, "'person_role'", "'person:' || nm", "CASE WHEN nm LIKE 'JO SMITH%' THEN 0.9 ELSE 0.55 END", "nm LIKE 'JO SMITH%'", "pe WHERE nm <> ''"),
+        edge_sql("'contractors'", ROW, "'contractor_payment'", "'contractor:' || nm", "CASE WHEN nm LIKE 'BUILD%' THEN 0.88 ELSE 0.5 END", "nm LIKE 'BUILD%'", "co WHERE nm <> ''"),
+        edge_sql("kind", ROW, "kind", "coalesce(e, 'schedr-name:' || nm)", "CASE WHEN e IS NOT NULL THEN 1.0 ELSE 0.6 END", "e IS NOT NULL AND part % 6 < 3", "re WHERE e IS NOT NULL OR nm <> ''"),
+        edge_sql("'filers'", "CAST(ein AS VARCHAR)", "'filed_address'", "t", "1.0", "true", "ad"),
+    )) + ")",
+))
 
 
 def all_edges(spark: SparkSession, d: str) -> DataFrame:
-    paid = grant_pairs(spark, d).join(returns(spark, d).select("filing_id", "ein", "tax_year"), "filing_id")
-    large = F.col("amount") > 50000
-    grant = network.edges(paid, kind="grant_paid", source="grants", row_id=F.col("filing_id"), target=F.concat(F.lit("ein:"), F.col("recipient").cast("string")), confidence=F.when(large, 0.9).otherwise(0.7), scored=large)
+    r = F.col("recipient")
+    paid = grant_pairs(spark, d).join(returns(spark, d).select("filing_id", "ein", "tax_year"), "filing_id").withColumns({
+        "recipient_ein": F.when(r % 10 != 0, F.lpad(r.cast("string"), 9, "3")), "recipient_name": F.concat(F.lit("Café  Org "), r.cast("string")), "confidence": F.when(F.col("amount") > 50000, 0.9).otherwise(0.7),
+        "match_status": F.when(r % 7 == 0, "Unresolved").when(r % 7 == 1, "conflicting_ein_match").otherwise("ein_exact"), "match_source": F.when(r % 3 == 0, "AI_assisted").otherwise("deterministic"),
+    })
+    grant = network.grant_edges(paid, source="grants", row_id=F.col("filing_id"))
     filers = table(spark, d, "customer").withColumnRenamed("c_custkey", "ein").withColumn("tax_year", F.lit(2000).cast("long"))
     address = network.edges(filers, kind="filed_address", source="filers", row_id=F.col("ein"), target=network.address_key(F.col("c_nationkey").cast("string"), F.col("c_mktsegment")), confidence=F.lit(1.0), scored=F.lit(True))
-    return grant.unionByName(address)
+    return reduce(DataFrame.unionByName, (grant, graph.people(spark, d), graph.contractors(spark, d), graph.related(spark, d), address))
 
 
 @query(with_(RETURNS, GRANTS, PAIRS, EDGES) + "SELECT edge_id, edge_type, source_ein, target_key, tax_year, confidence, scored FROM edges")
@@ -91,7 +116,7 @@ def edges_all_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_(RETURNS, GRANTS, PAIRS, EDGES)
-    + "SELECT target_key, count(DISTINCT source_ein) AS distinct_org_count, count(*) AS edge_count, min(tax_year) AS first_tax_year, max(tax_year) AS last_tax_year, CAST(coalesce(CASE WHEN target_key LIKE 'address:%' THEN count(DISTINCT source_ein) > 50 END, false) AS INTEGER) AS is_hub FROM edges GROUP BY target_key"
+    + "SELECT target_key, count(DISTINCT source_ein) AS distinct_org_count, count(*) AS edge_count, min(tax_year) AS first_tax_year, max(tax_year) AS last_tax_year, CAST(coalesce(CASE WHEN target_key LIKE 'address:%' OR target_key LIKE 'contractor:%' THEN count(DISTINCT source_ein) > 50 WHEN target_key LIKE 'person:%' THEN count(DISTINCT source_ein) > 25 END, false) AS INTEGER) AS is_hub FROM edges GROUP BY target_key"
 )
 def hub_stats(spark: SparkSession, d: str) -> DataFrame:
     return network.node_stats(all_edges(spark, d))
