@@ -49,13 +49,13 @@ def test_hubs_after_three_rounds_equal_a_full_build(spark):
 
     rows = edges(range(60))
     counts = network.hub_counts(spark.createDataFrame(rows, schema))
-    stats = network.hub_stats_of(counts, F.lit(45))
+    stats = network.hub_stats_of(counts, F.lit(29))
     for _ in range(3):
         changed = set(r.sample(range(70), 12))
         old, new = [x for x in rows if x[0] in changed], edges(changed)
         rows = [x for x in rows if x[0] not in changed] + new
-        counts, stats = (spark.createDataFrame(t.collect(), t.schema) for t in network.hubs_after(counts, stats, spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), F.lit(45)))
-    full = network.node_stats(spark.createDataFrame(rows, schema), F.lit(45))
+        counts, stats = (spark.createDataFrame(t.collect(), t.schema) for t in network.hubs_after(counts, stats, spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), F.lit(29)))
+    full = network.node_stats(spark.createDataFrame(rows, schema), F.lit(29))
     assert sorted(map(tuple, stats.select(full.columns).collect())) == sorted(map(tuple, full.collect())) and stats.where("is_hub = 1").count() in range(1, 21)
 
 
