@@ -30,6 +30,10 @@ FUNCTIONS = frozenset(
 QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`"
 
 
+#: The longest text that padding may make.
+PADDED = 1000
+
+
 class Refused(ValueError):
     """The text isn't a query that the guard lets through."""
 
@@ -62,6 +66,31 @@ def _parts(names) -> str:
     return ".".join(str(n) for n in _items(names)).lower()
 
 
+def _attributes(node) -> set[tuple[str, ...]]:
+    own = {tuple(_parts(node.nameParts()).split("."))} if node.getClass().getSimpleName() == "UnresolvedAttribute" else set()
+    return own.union(*(_attributes(c) for c in _items(node.children())))
+
+
+def _joins(condition) -> bool:
+    """Whether a condition that must hold says that a column of one table equals one of another."""
+    kind = condition.getClass().getSimpleName()
+    if kind == "And":
+        return any(_joins(c) for c in _items(condition.children()))
+    if kind not in ("EqualTo", "EqualNullSafe"):
+        return False
+    left, right = (_attributes(c) for c in _items(condition.children()))
+    tables = {names[:-1] for names in left}, {names[:-1] for names in right}
+    return bool(left and right) and left != right and (() in tables[0] | tables[1] or not tables[0] & tables[1])
+
+
+def _long_padding(function) -> bool:
+    """lpad or rpad to anything but a number that is written out and at most PADDED."""
+    if _parts(function.nameParts()) not in ("lpad", "rpad"):
+        return False
+    width = list(_items(function.children()))[1:2]
+    return not (width and width[0].getClass().getSimpleName() == "Literal" and str(width[0].value()).isdigit() and int(str(width[0].value())) <= PADDED)
+
+
 def checked(spark: SparkSession, text: str, tables: Iterable[str], columns: Iterable[str], *, functions: frozenset[str] = FUNCTIONS) -> str:
     """The statement, or Refused. A LIMIT must be a number."""
     sql = cleaned(text)
@@ -89,6 +118,10 @@ def checked(spark: SparkSession, text: str, tables: Iterable[str], columns: Iter
         raise Refused(f"not an approved column: {', '.join(sorted(other))}")
     if any(k == "Join" and n.condition().isEmpty() and n.joinType().getClass().getSimpleName().rstrip("$") in ("Inner", "Cross") for k, n in found):
         raise Refused("tables must be joined by a condition")
+    if any(k == "Join" and not n.condition().isEmpty() and not _joins(n.condition().get()) for k, n in found):
+        raise Refused("a join must say which columns of both tables are equal")
+    if any(k == "UnresolvedFunction" and _long_padding(n) for k, n in found):
+        raise Refused(f"padding must be a number up to {PADDED}")
     if hidden := sorted(c for c in own - {t.lower() for t in tables} if spark.catalog.tableExists(c)):
         raise Refused(f"a name that hides a table: {', '.join(hidden)}")
     if any(n.limitExpr().getClass().getSimpleName() != "Literal" for k, n in found if k in ("GlobalLimit", "LocalLimit")):

@@ -26,13 +26,13 @@ def query(sql: str | None = None):
 
 
 FILES = """files AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'a/b/' ELSE 'a/' END || p_name || '_' || p_partkey AS path, p_name || '/' || (p_size % 4) AS object_id, md5(CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_partkey % 3 END AS VARCHAR)) AS sha256,
-  CASE WHEN p_size % 4 = 1 THEN 'c' WHEN p_size % 4 <> 2 THEN md5(CAST(p_partkey % 3 AS VARCHAR)) END AS canonical_sha256 FROM part WHERE p_partkey < 3000)"""
+  CASE WHEN p_size % 4 = 1 THEN 'c' WHEN p_size % 4 <> 2 THEN md5(CAST(p_partkey % 3 AS VARCHAR)) END AS canonical_sha256 FROM part)"""
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size") % 4
     three = F.md5((k % 3).cast("string"))
-    return table(spark, d, "part").where("p_partkey < 3000").select(
+    return table(spark, d, "part").select(
         F.concat(F.when(k % 3 == 0, "a/b/").otherwise("a/"), "p_name", F.lit("_"), k.cast("string")).alias("path"), F.concat("p_name", F.lit("/"), s.cast("string")).alias("object_id"),
         F.when(s == 0, F.md5(F.lit("0"))).otherwise(three).alias("sha256"), F.when(s == 1, "c").when(s != 2, three).alias("canonical_sha256"),
     )
@@ -69,10 +69,11 @@ def loaded_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT object_id, loaded_path, path FROM (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM (
-  SELECT CAST(p_size AS VARCHAR) AS object_id, 'root/' || p_name || '/' || p_brand AS path, p_name || '/' || p_brand AS loaded_path FROM part WHERE p_partkey < 40)) WHERE n = 1"""
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 's' || p_size ELSE CAST(p_partkey AS VARCHAR) END AS object_id, 'root/' || p_name || '/' || p_brand AS path, p_name || '/' || p_brand AS loaded_path FROM part)) WHERE n = 1"""
 )
 def suffix_of_loaded_path(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_partkey < 40").select(F.col("p_size").cast("string").alias("object_id"), F.concat_ws("/", "p_name", "p_brand").alias("loaded_path"))
+    key = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("s"), F.col("p_size").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
+    rows = table(spark, d, "part").select(key.alias("object_id"), F.concat_ws("/", "p_name", "p_brand").alias("loaded_path"))
     once = rows.withColumn("path", F.concat(F.lit("root/"), "loaded_path"))
     alone = once.groupBy("object_id").agg(F.count("*").alias("n")).where("n = 1").select("object_id")
     pairs = once.join(alone, "object_id", "left_semi")

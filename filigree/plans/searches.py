@@ -203,12 +203,12 @@ def union_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, status FROM (SELECT o_orderkey, o_totalprice, CASE o_orderkey % 4 WHEN 0 THEN 'FILED_LATE' WHEN 1 THEN 'POTENTIAL_MISSING_FILING' WHEN 2 THEN 'TERMINATED' ELSE 'FILED_ON_TIME' END AS status FROM orders)
-ORDER BY CASE status WHEN 'POTENTIAL_MISSING_FILING' THEN 0 WHEN 'FILED_LATE' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 700"""
+ORDER BY CASE status WHEN 'POTENTIAL_MISSING_FILING' THEN 0 WHEN 'FILED_LATE' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey"""
 )
 def status_sort(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
     status = F.when(k == 0, "FILED_LATE").when(k == 1, "POTENTIAL_MISSING_FILING").when(k == 2, "TERMINATED").otherwise("FILED_ON_TIME")
-    return table(spark, d, "orders").withColumn("status", status).orderBy(unions.status_order("status"), F.desc("o_totalprice"), "o_orderkey").limit(700).select("o_orderkey", "status")
+    return table(spark, d, "orders").withColumn("status", status).orderBy(unions.status_order("status"), F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "status")
 
 
 @query(

@@ -113,6 +113,20 @@ def test_guard_refuses(spark, text):
     spark.catalog.dropTempView("secret")
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["SELECT t.id FROM t JOIN u ON true", "SELECT t.id FROM t JOIN u ON t.id = t.id", "SELECT t.id FROM t JOIN u ON t.id = u.id OR true", "SELECT t.id FROM t JOIN u ON t.id > 3", "SELECT lpad('x', 2000000000, 'y') AS x FROM t", "SELECT rpad('x', id, 'y') AS x FROM t"],
+)
+def test_guard_refuses_products_and_long_padding(spark, text):
+    with pytest.raises(guard.Refused):
+        guard.ask(spark, text, {"t": spark.range(1), "u": spark.range(1)})
+
+
+def test_guard_lets_joins_and_short_padding_through(spark):
+    text = "SELECT lpad('x', 10, 'y') AS x FROM t LEFT JOIN u ON t.id + 1 = u.id AND u.id > 2"
+    assert guard.ask(spark, text, {"t": spark.range(3), "u": spark.range(9)}).count() == 3
+
+
 def test_guard_lets_queries_through(spark):
     assert guard.ask(spark, "WITH a AS (SELECT id FROM t) SELECT id, 'drop' AS w FROM a LIMIT 3", {"t": spark.range(9)}).count() == 3
     with pytest.raises(guard.Refused):
