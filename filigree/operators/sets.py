@@ -75,3 +75,8 @@ def replay_factor(source: DataFrame, copy: DataFrame, keys: Sequence[str]) -> Da
 def settled(df: DataFrame) -> DataFrame:
     """df as it is, its columns worked out once: without this barrier later uses of a column repeat its expression, which doubles with every step."""
     return df.select(F.explode(F.array(F.struct("*"))).alias("__r")).select("__r.*")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage where the session names a folder for checkpoints, which all executors share; else df, worked out again by each use."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
