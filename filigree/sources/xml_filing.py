@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,13 +17,16 @@ class Layout:
     """Where values are. A path is local tag names from the root with `*` for any; of several the first non-blank counts.
 
     `//A|B` is any descendant, in document order, of one of these names, whose case doesn't count; `//P//C` one within another.
+    `@x` is the root's first attribute whose name ends in x, whatever the case.
 
     header: column to paths, where `required` must be present. groups: name to (path of a row, column to path within it).
+    sections: likewise for what occurs once, as one struct, null where the filing hasn't that section.
     """
 
     header: dict[str, tuple[str, ...]]
     required: tuple[str, ...] = ()
     groups: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = field(default_factory=dict)
+    sections: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = field(default_factory=dict)
 
 
 def local(tag: str) -> str:
@@ -90,28 +93,63 @@ def without_placeholders(rows: DataFrame, amount: str = "cash_grant_amt", ignore
     return rows.where(reduce(lambda a, b: a | b, map(filled, others), filled(amount) & ~zero))
 
 
-def first_text(root: ElementTree.Element, paths: tuple[str, ...]) -> str | None:
-    return next((t for p in paths for n in nodes(root, p) if (t := (n.text or "").strip())), None)
+@lru_cache(4096)
+def descendant_names(path: str) -> tuple[str, ...]:
+    """Lower-cased names of a path that is one step to any depth, else none."""
+    return tuple(path[2:].lower().split("|")) if path.startswith("//") and "/" not in path[2:] else ()
 
 
-def parse(content: bytes, layout: Layout) -> tuple[dict[str, str | None], dict[str, list[dict[str, str | None]]], str | None]:
-    """Header, rows of each group without all-blank ones, and an error where the filing is unusable."""
+class Below:
+    """An element with all below it by tag, found in one walk however many columns and groups ask."""
+
+    def __init__(self, top: ElementTree.Element) -> None:
+        self.top, self.firsts, self.places = top, {}, {}
+        for place, node in enumerate(top.iter()):
+            if node is not top:
+                tag = local(node.tag).lower()
+                self.places.setdefault(tag, []).append((place, node))
+                if tag not in self.firsts and (text := (node.text or "").strip()):
+                    self.firsts[tag] = (place, text)
+
+    def nodes(self, path: str) -> list[ElementTree.Element]:
+        if names := descendant_names(path):
+            found = (p for n in dict.fromkeys(names) for p in self.places.get(n, ()))
+            return [node for _, node in sorted(found, key=lambda p: p[0])]
+        return nodes(self.top, path)
+
+    def at(self, path: str) -> str | None:
+        if path.startswith("@"):
+            return next((v for k, v in self.top.attrib.items() if local(k).lower().endswith(path[1:].lower())), None)
+        if names := descendant_names(path):
+            return min((self.firsts[n] for n in names if n in self.firsts), default=(0, None))[1]
+        return next((t for n in nodes(self.top, path) if (t := (n.text or "").strip())), None)
+
+    def values(self, columns: dict[str, tuple[str, ...]]) -> dict[str, str | None]:
+        return {c: next((t for p in paths if (t := self.at(p)) is not None), None) for c, paths in columns.items()}
+
+
+def parse(content: bytes, layout: Layout) -> tuple[dict[str, str | None], dict[str, object], str | None]:
+    """Header; sections, and rows of each group without all-blank ones; an error where the filing is unusable."""
     try:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError as e:
         return {}, {}, f"not XML: {e}"
-    header = {c: first_text(root, paths) for c, paths in layout.header.items()}
+    whole = Below(root)
+    header = whole.values(layout.header)
     if missing := [c for c in layout.required if header.get(c) is None]:
         return header, {}, f"missing {', '.join(missing)}"
-    groups = {}
+    found: dict[str, object] = {}
+    for name, (path, columns) in layout.sections.items():
+        first = next(iter(whole.nodes(path)), None)
+        found[name] = None if first is None else Below(first).values(columns)
     for name, (path, columns) in layout.groups.items():
-        rows = [{c: first_text(n, paths) for c, paths in columns.items()} for n in nodes(root, path)]
-        groups[name] = [r for r in rows if any(r.values())]
-    return header, groups, None
+        rows = [Below(n).values(columns) for n in whole.nodes(path)]
+        found[name] = [r for r in rows if any(r.values())]
+    return header, found, None
 
 
 def read_filings(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """One row per file: path, header struct, an array of structs for each group, error.
+    """One row per file: path, header struct, a struct for each section, an array of structs for each group, error.
 
     Explode a group for its child rows; cache or write this first, so that files are parsed once.
     """
@@ -123,17 +161,50 @@ def parse_filings(files: DataFrame, layout: Layout) -> DataFrame:
     def struct(columns: object) -> str:
         return f"struct<{','.join(f'`{c}`:string' for c in columns)}>"
 
+    sections = "".join(f", `{s}` {struct(columns)}" for s, (_, columns) in layout.sections.items())
     groups = "".join(f", `{g}` array<{struct(columns)}>" for g, (_, columns) in layout.groups.items())
+    names = ["path", "header", *layout.sections, *layout.groups, "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 header, found, error = parse(content, layout)
-                out.append({"path": path, "header": {c: header.get(c) for c in layout.header}, **{g: found.get(g, []) for g in layout.groups}, "error": error})
-            yield pd.DataFrame(out, columns=["path", "header", *layout.groups, "error"])
+                parts = {s: found.get(s) for s in layout.sections} | {g: found.get(g, []) for g in layout.groups}
+                out.append({"path": path, "header": {c: header.get(c) for c in layout.header}, **parts, "error": error})
+            yield pd.DataFrame(out, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, f"path string, header {struct(layout.header)}{sections}{groups}, error string")
 
-    return files.mapInPandas(run, f"path string, header {struct(layout.header)}{groups}, error string")
+
+def element_paths(files: DataFrame) -> DataFrame:
+    """How often each path of elements occurs in a corpus: version, path, filings, filled (filings with a text there), files.
+
+    Files (path, content) that aren't XML count nowhere; `version` is the root's, '' without one; `files` is the
+    number of that version's. Paths leave their Python task once per file, and counts are combined before the shuffle.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for content in pdf["content"]:
+                try:
+                    root = ElementTree.fromstring(content)
+                except (ElementTree.ParseError, TypeError):
+                    continue
+                seen, open_nodes = {}, [(root, f"/{local(root.tag)}")]
+                while open_nodes:
+                    node, path = open_nodes.pop()
+                    seen[path] = seen.get(path, False) or bool((node.text or "").strip())
+                    open_nodes += [(child, f"{path}/{local(child.tag)}") for child in node]
+                version = next((v for k, v in root.attrib.items() if local(k).lower().endswith("version")), "")
+                out += [(version, path, int(filled), path.count("/") == 1) for path, filled in seen.items()]
+            yield pd.DataFrame(out, columns=["version", "path", "filled", "root"])
+
+    paths = files.select("content").mapInPandas(run, "version string, path string, filled int, root boolean")
+    counted = paths.groupBy("version", "path", "root").agg(F.count("*").alias("filings"), F.sum("filled").alias("filled"))
+    whole = F.sum(F.when(F.col("root"), F.col("filings"))).over(Window.partitionBy("version"))
+    return counted.select("version", "path", "filings", "filled", whole.alias("files"))
 
 
 def child_rows(filings: DataFrame, group: str, key: str) -> DataFrame:
