@@ -61,20 +61,22 @@ XML = f"""concat('<Return xmlns="urn:x"', CASE WHEN k % 17 = 0 THEN '' ELSE conc
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
+    """Keys are dealt out before filings are made of them: parsing costs far more than the few bytes that a split is cut by."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"))
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "k")
     return orders.withColumn("g", F.expr(GROUPS)).select(F.format_string("/in/%d.xml", "k").alias("path"), F.expr(XML).cast("binary").alias("content"))
 
 
-def filings(spark: SparkSession, d: str) -> DataFrame:
-    return xml_filing.parse_filings(files(spark, d), layouts.FILING)
+def filings(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    return xml_filing.parse_filings(files(spark, d), layouts.FILING.only(*parts) if parts else layouts.FILING)
 
 
 def core_data(spark: SparkSession, d: str) -> DataFrame:
-    return core.core_data(filings(spark, d))
+    return core.core_data(filings(spark, d, "f990", "ez", "pf", "sc"))
 
 
 def part_seven_people(spark: SparkSession, d: str) -> DataFrame:
-    return core.people(filings(spark, d))
+    return core.people(filings(spark, d, "part_vii"))
 
 
 def preflight(spark: SparkSession, d: str) -> DataFrame:

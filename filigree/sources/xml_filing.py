@@ -8,10 +8,15 @@ from functools import lru_cache, reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Filings that are written to one Arrow batch; more would only hold more of them in memory.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where values are. A path is local tag names from the root with `*` for any; of several the first non-blank counts.
@@ -28,6 +33,11 @@ class Layout:
     groups: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = field(default_factory=dict)
     sections: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = field(default_factory=dict)
 
+    def only(self, *parts: str) -> Layout:
+        """The header and these sections and groups: what a query doesn't use needn't leave its Python task."""
+        groups, sections = ({p: what[p] for p in parts if p in what} for what in (self.groups, self.sections))
+        return Layout(self.header, self.required, groups, sections)
+
 
 def local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -121,7 +131,8 @@ class Below:
         if path.startswith("@"):
             return next((v for k, v in self.top.attrib.items() if local(k).lower().endswith(path[1:].lower())), None)
         if names := descendant_names(path):
-            return min((self.firsts[n] for n in names if n in self.firsts), default=(0, None))[1]
+            hits = [self.firsts[n] for n in names if n in self.firsts]
+            return (hits[0] if len(hits) == 1 else min(hits))[1] if hits else None
         return next((t for n in nodes(self.top, path) if (t := (n.text or "").strip())), None)
 
     def values(self, columns: dict[str, tuple[str, ...]]) -> dict[str, str | None]:
@@ -158,23 +169,25 @@ def read_filings(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
 
 
 def parse_filings(files: DataFrame, layout: Layout) -> DataFrame:
-    def struct(columns: object) -> str:
-        return f"struct<{','.join(f'`{c}`:string' for c in columns)}>"
-
-    sections = "".join(f", `{s}` {struct(columns)}" for s, (_, columns) in layout.sections.items())
-    groups = "".join(f", `{g}` array<{struct(columns)}>" for g, (_, columns) in layout.groups.items())
-    names = ["path", "header", *layout.sections, *layout.groups, "error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                header, found, error = parse(content, layout)
-                parts = {s: found.get(s) for s in layout.sections} | {g: found.get(g, []) for g in layout.groups}
-                out.append({"path": path, "header": {c: header.get(c) for c in layout.header}, **parts, "error": error})
-            yield pd.DataFrame(out, columns=names)
-
-    return files.select("path", "content").mapInPandas(run, f"path string, header {struct(layout.header)}{sections}{groups}, error string")
+    def struct(columns: object) -> tuple[str, pa.DataType]:
+        return f"struct<{','.join(f'`{c}`:string' for c in columns)}>", pa.struct([(c, pa.string()) for c in columns])
+
+    header, parts = struct(layout.header), [(s, *struct(columns)) for s, (_, columns) in layout.sections.items()]
+    lists = [(g, *struct(columns)) for g, (_, columns) in layout.groups.items()]
+    ddl = "".join([*(f", `{s}` {t}" for s, t, _ in parts), *(f", `{g}` array<{t}>" for g, t, _ in lists)])
+    schema = pa.schema([("path", pa.string()), ("header", header[1]), *((s, t) for s, _, t in parts), *((g, pa.list_(t)) for g, _, t in lists), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                out = []
+                for path, content in zip(*(batch.column(c).slice(start, BLOCK).to_pylist() for c in ("path", "content")), strict=True):
+                    values, found, error = parse(content, layout)
+                    present = {s: found.get(s) for s in layout.sections} | {g: found.get(g, []) for g in layout.groups}
+                    out.append({"path": path, "header": {c: values.get(c) for c in layout.header}, **present, "error": error})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, f"path string, header {header[0]}{ddl}, error string")
 
 
 def element_paths(files: DataFrame) -> DataFrame:
