@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.operators.windows import canonical_filings
 from filigree.sources.layouts import ACTIVITIES
 
 #: Columns of the result, in order.
@@ -162,6 +163,13 @@ def filing_id(path: str = "path") -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def canonical(filings: DataFrame, types: Sequence[str] = ("990", "990EZ", "990PF")) -> DataFrame:
+    """The filing that counts of each filer and tax year, whole: latest stamp, then amended, then highest id."""
+    amended = F.when(mark("header.amended").isin("X", "0"), mark("header.amended"))
+    keyed = {"ein": F.col("header.ein"), "tax_year": number("header.tax_year").cast("bigint"), "return_type": F.col("header.return_type"), "return_ts": F.col("header.return_ts"), "amended": amended, "filing_id": filing_id()}
+    return canonical_filings(filings.where("error IS NULL").withColumns(keyed), types).drop("return_type", "return_ts", "amended")
+
+
 def named_people() -> Column:
     """Part VII as an array of people with a name: pay as numbers, marks."""
 

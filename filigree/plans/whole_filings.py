@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import core_data as core
+from filigree.operators import people_search as search
 from filigree.operators import preflight as checks
+from filigree.operators import related
 from filigree.plans.roles import table
 from filigree.sources import layouts, xml_filing
 
@@ -31,6 +35,10 @@ def value(column: str, place: int) -> str:
     return f"CASE WHEN (k + {place}) % 3 > 0 THEN concat('{column} ', k % 50) END"
 
 
+def child_value(column: str, place: int) -> str:
+    return "concat('Ada ', c)" if column == "person_nm" else f"(k + {place}) % 101" if column.endswith("_pct") else value(column, place)
+
+
 VALUES = {form: {c: value(c, i) for i, c in enumerate(columns)} for form, columns in (FORM_COLUMNS | {4: SCHEDULE}).items()}
 
 
@@ -48,15 +56,31 @@ def written(columns: dict[str, str]) -> str:
     return f"concat({', '.join(out)})"
 
 
+#: Rows of child tables: the j-th has one in every fifth filing.
+CHILD_VALUES = {name: (tag.split("|")[0], {c: child_value(c, i) for i, c in enumerate(columns)}) for name, (tag, columns) in layouts.CHILDREN.items()}
+CHILD_VALUES["contractors"] = ("ContractorCompensationGrp", {"person_nm": "concat('Ada ', c)", "compensation_amt": "k % 50", "city_nm": "'Pay'", "services_desc": "'Law'"})
+PLACES = {name: j for j, name in enumerate(CHILD_VALUES)}
+
+
+def rows_xml(names: Sequence[str]) -> str:
+    return ", ".join(f"CASE WHEN (k + {PLACES[n]}) % 5 = 0 THEN concat('<{CHILD_VALUES[n][0]}>', {written(CHILD_VALUES[n][1])}, '</{CHILD_VALUES[n][0]}>') ELSE '' END" for n in names)
+
+
+CHILDREN = rows_xml([name for name in CHILD_VALUES if name not in related.GROUPS])
+SCHEDULE_R = f"concat('<IRS990ScheduleR>', {rows_xml(related.GROUPS)}, '</IRS990ScheduleR>')"
+BOOKS = "'<BooksInCareOfDetail><PersonNm>Ada ', c, '</PersonNm><AddressLine1Txt>1 Book St</AddressLine1Txt><CityNm>Bookton</CityNm><StateAbbreviationCd>NY</StateAbbreviationCd><ZIPCd>1</ZIPCd><PhoneNum>5</PhoneNum></BooksInCareOfDetail>'"
+SIGNED = """CASE WHEN k % 7 = 3 THEN concat('<PreparerPersonNm>Ada ', c, '</PreparerPersonNm><PTIN>P1</PTIN>') ELSE '' END, CASE WHEN k % 3 = 1 THEN concat('<PersonNm>Ada ', c, '</PersonNm><PersonTitleTxt>Boss</PersonTitleTxt>') ELSE '' END"""
+
 #: Every 13th file is cut short, every 11th has no number, every 17th no version, every 19th no main form.
-FORMS = " ".join(f"WHEN {form} THEN concat('<IRS{KINDS[form]}>', {written(VALUES[form])}, g, '</IRS{KINDS[form]}>')" for form in FORM_COLUMNS)
-GROUPS = """concat(CASE WHEN k % 6 = 0 THEN '<GrantsToOrganizationsInd>X</GrantsToOrganizationsInd>' ELSE '' END,
+FORMS = " ".join(f"WHEN {form} THEN concat('<IRS{KINDS[form]}>', {written(VALUES[form])}, g, '</IRS{KINDS[form]}>', r)" for form in FORM_COLUMNS)
+GROUPS = f"""concat({BOOKS}, CASE WHEN k % 6 = 0 THEN '<GrantsToOrganizationsInd>X</GrantsToOrganizationsInd>' ELSE '' END,
   CASE WHEN k % 10 = 0 THEN '<RecipientTable><CashGrantAmt>0</CashGrantAmt></RecipientTable>' WHEN k % 5 = 0 THEN concat('<RecipientTable><RecipientEIN>', c, '</RecipientEIN></RecipientTable>') ELSE '' END,
   CASE WHEN k % 3 = 0 THEN repeat(concat('<Form990PartVIISectionAGrp><PersonNm>Ada ', c, '</PersonNm><TitleTxt>Chair</TitleTxt><ReportableCompFromOrgAmt>1,', 100 + k % 900, '</ReportableCompFromOrgAmt><OfficerInd>X</OfficerInd>',
-    CASE WHEN k % 9 = 0 THEN '<KeyEmployeeInd>true</KeyEmployeeInd><HighestCompensatedEmployeeInd>1</HighestCompensatedEmployeeInd>' ELSE '' END, '</Form990PartVIISectionAGrp>'), 2) ELSE '' END)"""
+    CASE WHEN k % 9 = 0 THEN '<KeyEmployeeInd>true</KeyEmployeeInd><HighestCompensatedEmployeeInd>1</HighestCompensatedEmployeeInd>' ELSE '' END, '</Form990PartVIISectionAGrp>'), 2) ELSE '' END, {CHILDREN})"""
 XML = f"""concat('<Return xmlns="urn:x"', CASE WHEN k % 17 = 0 THEN '' ELSE concat(' returnVersion="', CASE WHEN k % 8 < 4 THEN '2017v2.3' ELSE '2024v5.0' END, '"') END, '><ReturnHeader><ReturnTypeCd>',
   CASE k % 4 {" ".join(f"WHEN {n} THEN '{kind}'" for n, kind in KINDS.items())} END, '</ReturnTypeCd><TaxYr>', y, '</TaxYr><TaxPeriodBeginDt>', y, '-01-01</TaxPeriodBeginDt><TaxPeriodEndDt>', y, '-12-31</TaxPeriodEndDt><Filer>',
-  CASE WHEN k % 11 = 0 THEN '' ELSE concat('<EIN>', c, '</EIN>') END, '<BusinessName><BusinessNameLine1Txt>Org ', c, '</BusinessNameLine1Txt></BusinessName><USAddress><CityNm>City ', c % 30, '</CityNm></USAddress></Filer></ReturnHeader><ReturnData>',
+  CASE WHEN k % 11 = 0 THEN '' ELSE concat('<EIN>', c, '</EIN>') END, '<BusinessName><BusinessNameLine1Txt>Org ', c, '</BusinessNameLine1Txt></BusinessName><USAddress><AddressLine1Txt>9 Main</AddressLine1Txt><CityNm>City ', c % 30, '</CityNm><StateAbbreviationCd>CA</StateAbbreviationCd><ZIPCd>9</ZIPCd></USAddress>',
+  CASE WHEN k % 7 = 2 THEN concat('<InCareOfNm>Ada ', c, '</InCareOfNm>') ELSE '' END, '</Filer>', {SIGNED}, '</ReturnHeader><ReturnData>',
   CASE WHEN k % 19 = 0 THEN '' ELSE CASE k % 4 {FORMS} ELSE '' END END, CASE WHEN k % 4 < 2 THEN concat('<IRS990ScheduleC>', {written(VALUES[4])}, '</IRS990ScheduleC>') ELSE '' END, CASE WHEN k % 13 = 0 THEN '' ELSE '</ReturnData></Return>' END)"""
 
 
@@ -64,7 +88,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     """Keys are dealt out before filings are made of them: parsing costs far more than the few bytes that a split is cut by."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"))
     orders = orders.repartition(spark.sparkContext.defaultParallelism, "k")
-    return orders.withColumn("g", F.expr(GROUPS)).select(F.format_string("/in/%d.xml", "k").alias("path"), F.expr(XML).cast("binary").alias("content"))
+    return orders.withColumns({"g": F.expr(GROUPS), "r": F.expr(SCHEDULE_R)}).select(F.format_string("/in/%d.xml", "k").alias("path"), F.expr(XML).cast("binary").alias("content"))
 
 
 def filings(spark: SparkSession, d: str, *parts: str) -> DataFrame:
@@ -79,6 +103,19 @@ def part_seven_people(spark: SparkSession, d: str) -> DataFrame:
     return core.people(filings(spark, d, "part_vii"))
 
 
+def schedule_r_related(spark: SparkSession, d: str) -> DataFrame:
+    """Of the filings that count, unrelated partnerships included."""
+    return related.schedule_r(core.canonical(filings(spark, d, *related.GROUPS)), unrelated=True)
+
+
+PERSON, YEARS = "da 1_", (1993, 1996)
+
+
+def people_search(spark: SparkSession, d: str) -> DataFrame:
+    """With a budget that holds every hit."""
+    return search.people_search(filings(spark, d), PERSON, fuzzy=True, state="ca", years=YEARS, max_rows=2_000_000_000)
+
+
 def preflight(spark: SparkSession, d: str) -> DataFrame:
     codes = F.concat_ws("|", F.transform("caveats", lambda c: F.concat(c["severity"], F.lit(":"), c["code"]))).alias("caveats")
     checked = checks.preflight(filings(spark, d))
@@ -154,7 +191,7 @@ SQL_FORMS = {
 def form_sql(form: int) -> str:
     known = {
         "ein": "CAST(c AS VARCHAR)", "org_name": "'Org ' || c", "tax_year": "CAST(y AS BIGINT)", "return_type": f"'{KINDS[form]}'", "period_start": "y || '-01-01'", "period_end": "y || '-12-31'",
-        "city": "'City ' || c % 30", "filing_id": "CAST(k AS VARCHAR)",
+        "us_address_line1": "'9 Main'", "city": "'City ' || c % 30", "state": "'CA'", "zip": "'9'", "filing_id": "CAST(k AS VARCHAR)",
     } | SQL_FORMS[form]
     empty = {c: "VARCHAR" if c in core.WORDS or c in core.HEADER else "BIGINT" if c in core.COUNTS else "DOUBLE" for c in core.COLUMNS}
     return f"SELECT {', '.join(f'{known.get(c, f"CAST(NULL AS {t})")} AS {c}' for c, t in empty.items())} FROM said{form} WHERE k % 11 > 0 AND k % 13 > 0"
@@ -181,15 +218,80 @@ codes AS (SELECT *, CASE WHEN status <> 'ok' THEN ['error:' || status] ELSE list
   CASE WHEN n = 0 THEN 'warning:all_core_hot_fields_blank' END, CASE WHEN grant_rows = 0 AND (organizations OR paid) THEN 'warning:grant_signal_without_detail_rows' END,
   CASE WHEN grant_rows = 0 AND kind = '990PF' AND contributed THEN 'warning:pf_contributions_paid_without_detail_rows' END], lambda x: x IS NOT NULL) END AS caveats,
   CASE WHEN status <> 'parse_error' THEN kind END AS return_type, CASE WHEN status <> 'parse_error' THEN version END AS schema_version FROM rows_)"""
-ZERO = ("contractor_rows", "ez_officer_rows", "pf_officer_rows", "schedule_l_rows", "schedule_r_rows")
+CHILD_COUNTS = {
+    "contractor_rows": ("contractors",), "ez_officer_rows": ("ez_officers",), "pf_officer_rows": ("pf_officers",), "schedule_l_rows": ("l_business", "l_excess_benefit", "l_grants", "l_loans"),
+    "schedule_r_rows": related.GROUPS,
+}
+
+
+def rows_sql(names: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(form AND (k + {PLACES[n]}) % 5 = 0 AS INTEGER)" for n in names)
+
+
 HEADER_PATHS = {
     "": "true", "/ReturnTypeCd": "true", "/TaxYr": "true", "/TaxPeriodBeginDt": "true", "/TaxPeriodEndDt": "true", "/Filer": "true", "/Filer/EIN": "k % 11 > 0", "/Filer/BusinessName": "true",
-    "/Filer/BusinessName/BusinessNameLine1Txt": "true", "/Filer/USAddress": "true", "/Filer/USAddress/CityNm": "true",
+    "/Filer/BusinessName/BusinessNameLine1Txt": "true", "/Filer/USAddress": "true", **{f"/Filer/USAddress/{tag}": "true" for tag in ("AddressLine1Txt", "CityNm", "StateAbbreviationCd", "ZIPCd")}, "/Filer/InCareOfNm": "k % 7 = 2",
+    "/PreparerPersonNm": "k % 7 = 3", "/PTIN": "k % 7 = 3", "/PersonNm": "k % 3 = 1", "/PersonTitleTxt": "k % 3 = 1",
 }
 BRANCHES = ("", "/Filer", "/Filer/BusinessName", "/Filer/USAddress")
 
-QUERIES = {"core_data": core_data, "part_seven_people": part_seven_people, "preflight": preflight, "preflight_caveats": preflight_caveats, "element_paths": element_paths}
+CHOSEN = """chosen AS (SELECT k, c, y FROM (SELECT k, c, y, row_number() OVER (PARTITION BY c, y ORDER BY coalesce(a, '0') DESC, CAST(k AS VARCHAR) DESC) AS rn FROM (
+  SELECT k, c, y, CASE WHEN amended_return_ind IN ('X', 'true') THEN 'X' WHEN amended_return_ind IN ('0', 'false') THEN '0' END AS a
+  FROM (SELECT k, c, y, amended_return_ind FROM said0 UNION ALL SELECT k, c, y, amended_return_ind FROM said1 UNION ALL SELECT k, c, y, amended_return_ind FROM said2) WHERE k % 11 > 0 AND k % 13 > 0)) WHERE rn = 1)"""
+
+
+def related_sql(group: str) -> str:
+    columns = {c: f"CAST({v} AS VARCHAR)" for c, v in CHILD_VALUES[group][1].items()}
+
+    def of(c: str) -> str:
+        return columns.get(c, "NULL::VARCHAR")
+
+    def line(n: int) -> str:
+        heads = ("related_organization_name_business_name", "business_name", "disregarded_entity_name_business_name")
+        return f"trim(coalesce({', '.join(of(f'{h}_line{n}_txt') for h in heads)}, ''))"
+
+    controlled = of("general_or_managing_partner_ind" if group == "r_unrelated" else "controlled_organization_ind")
+    plain = {c: of(source) for c, (source, _) in related.OTHERS.items()} | {"controlled_org_ind": controlled}
+    category, name = related.CATEGORIES[group]
+    return f"""SELECT CAST(c AS VARCHAR) AS filer_ein, CAST(y AS BIGINT) AS filer_tax_year, CAST(k AS VARCHAR) AS filing_id, '{category}' AS relationship_category, {of("ein")} AS related_ein,
+  {line(1)} AS one, {line(2)} AS two, CAST({of("ownership_pct")} AS DOUBLE) AS ownership_pct, CAST({of("involved_amt")} AS DOUBLE) AS involved_amt,
+  {", ".join(f"{v} AS {c}" for c, v in plain.items())}, '{name}' AS table_source FROM chosen WHERE k % 19 > 0 AND (k + {PLACES[group]}) % 5 = 0"""
+
+
+def hit_sql(label: str, person: str, parts: dict[str, str], where: str) -> str:
+    said = " || ".join(f"' | {k}=' || coalesce(CAST({v} AS VARCHAR), '')" for k, v in parts.items())
+    return f"SELECT k, c, y, '{label}' AS found_in, 'name=' || {person} || {said} AS detail FROM good WHERE {where}"
+
+
+ADA, FORM = "('Ada ' || c)", "k % 19 > 0 AND k % 4 < 3"
+PAY = {"title": "'Chair'", "hrs/wk": "NULL", "comp_org": "(1100 + k % 900) || '.0'", "comp_rel": "NULL", "other": "NULL"}
+FORM_BOOKS = {"addr1": "'1 Book St'", "city": "'Bookton'", "state": "'NY'", "zip": "'1'", "phone": "'5'"}
+ROOT_BOOKS = {"addr1": "'9 Main'", "city": "'City ' || c % 30", "state": "'CA'", "zip": "'9'", "phone": f"CASE WHEN {FORM} THEN '5' END"}
+OF_CHILD = {
+    "ez_officers": ("EZ Officer/Director/Trustee/Employee", {"title": "title_txt", "hrs/wk": "average_hrs_per_wk_devoted_to_pos_rt", "comp": "compensation_amt", "benefits": "employee_benefit_program_amt", "other": "expense_account_other_allwnc_amt"}),
+    "schedule_j": ("Schedule J (Officer/Trustee/Key)", {"title": "title_txt", "base": "base_compensation_filing_org_amt", "bonus": "bonus_filing_organization_amount", "total_org": "total_compensation_filing_org_amt", "total_rel": "total_compensation_rltd_orgs_amt"}),
+    "pf_officers": ("990-PF Officer/Director/Trustee/Key", {"title": "title_txt", "hrs/wk": "average_hrs_per_wk_devoted_to_pos_rt", "comp": "compensation_amt", "benefits": "employee_benefits_amt", "expense": "expense_account_amt"}),
+    "l_business": ("Schedule L (Business Transactions)", {"relationship": "relationship_description_txt", "amount": "transaction_amt", "desc": "transaction_desc"}),
+    "l_excess_benefit": ("Schedule L (Excess Benefit Transaction)", {"relationship": "rln_disqualified_person_org_txt", "corrected": "transaction_corrected_ind", "desc": "transaction_desc"}),
+    "l_grants": ("Schedule L (Grant/Assist to Interested Person)", {"relationship": "relationship_with_org_txt", "cash": "cash_grant_amt", "assist_type": "type_of_assistance_txt", "purpose": "assistance_purpose_txt"}),
+    "l_loans": ("Schedule L (Loans Between Org & Interested Person)", {"relationship": "relationship_with_org_txt", "orig_principal": "original_principal_amt", "balance_due": "balance_due_amt", "purpose": "loan_purpose_txt"}),
+}
+HITS = [
+    hit_sql("Returns (In Care Of Name)", ADA, {"addr1": "'9 Main'", "city": "'City ' || c % 30", "state": "'CA'", "zip": "'9'"}, "k % 7 = 2"),
+    hit_sql("Officer/Director/Trustee", ADA, PAY, f"{FORM} AND k % 3 = 0"),
+    hit_sql("Highly Compensated Employee", ADA, PAY, f"{FORM} AND k % 9 = 0"),
+    hit_sql("Former/Key Employee", ADA, {k: v for k, v in PAY.items() if k != "hrs/wk"}, f"{FORM} AND k % 9 = 0"),
+    hit_sql("Contractor", ADA, {"services": "'Law'", "comp": "(k % 50) || '.0'", "city": "'Pay'", "region": "NULL", "country": "NULL"}, f"{FORM} AND (k + {PLACES['contractors']}) % 5 = 0"),
+    hit_sql("Return Header (Signer/Officer)", ADA, {"title": "CASE WHEN k % 3 = 1 THEN 'Boss' END", "signed": "NULL"}, f"k % 3 = 1 OR ({FORM})"),
+    hit_sql("Return Header (Preparer)", ADA, {"firm": "NULL", "ptin": "'P1'", "prep_dt": "NULL"}, "k % 7 = 3"),
+    *(hit_sql(label, ADA, books, f"({where}) AND (k % 3 = 1 OR ({FORM}))") for label, n in (("Books In Care Of", 0), ("Books In Care Of (EZ)", 1)) for books, where in ((FORM_BOOKS, f"k % 4 = {n} AND k % 19 > 0"), (ROOT_BOOKS, f"k % 4 <> {n} OR k % 19 = 0"))),
+    *(hit_sql(label, ADA, {part: CHILD_VALUES[name][1][c] for part, c in parts.items()}, f"{FORM} AND (k + {PLACES[name]}) % 5 = 0") for name, (label, parts) in OF_CHILD.items()),
+]
+
+QUERIES = {"schedule_r_related": schedule_r_related, "people_search": people_search, "core_data": core_data, "part_seven_people": part_seven_people, "preflight": preflight, "preflight_caveats": preflight_caveats, "element_paths": element_paths}
 ORACLES = {
+    "schedule_r_related": f"WITH {MADE},\n{SAID},\n{CHOSEN}\nSELECT * EXCLUDE (one, two), one || CASE WHEN two <> '' THEN ' ' || two ELSE '' END AS related_name FROM (" + "\nUNION ALL ".join(map(related_sql, related.GROUPS)) + ")",
+    "people_search": f"WITH {MADE}, good AS (SELECT * FROM made WHERE k % 11 > 0 AND k % 13 > 0 AND y BETWEEN {YEARS[0]} AND {YEARS[1]} AND ('Ada ' || c) ILIKE '%{PERSON}%')\nSELECT DISTINCT CAST(k AS VARCHAR) AS filing_id, CAST(c AS VARCHAR) AS ein, 'Org ' || c AS org_name, CAST(y AS BIGINT) AS tax_year, found_in, detail FROM (" + "\nUNION ALL ".join(HITS) + ")",
     "core_data": f"WITH {MADE},\n{SAID}\n" + "\nUNION ALL ".join(form_sql(f) for f in KINDS),
     "part_seven_people": f"""WITH {MADE} SELECT CAST(k AS VARCHAR) AS filing_id, 'Ada ' || c AS person_name, 'Chair' AS title_txt, CAST(NULL AS DOUBLE) AS avg_hours_week, CAST(1100 + k % 900 AS DOUBLE) AS comp_from_org,
   CAST(NULL AS DOUBLE) AS comp_from_related, CAST(NULL AS DOUBLE) AS other_compensation, 'X' AS is_officer, CAST(NULL AS VARCHAR) AS is_director, CASE WHEN k % 9 = 0 THEN 'X' END AS is_key_employee,
@@ -198,7 +300,7 @@ ORACLES = {
 SELECT CAST(k AS VARCHAR) AS filing_id, '/in/' || k || '.xml' AS source_file, status, return_type, schema_version, CASE WHEN status <> 'parse_error' THEN y || '-12-31' END AS period_end,
   CASE WHEN status <> 'parse_error' AND k % 11 > 0 THEN CAST(c AS VARCHAR) END AS ein, CASE WHEN status <> 'parse_error' THEN CAST(y AS BIGINT) END AS tax_year,
   CASE WHEN status = 'ok' AND form THEN kind ELSE '' END AS recognized_forms, CASE WHEN status = 'ok' THEN n END AS core_present_fields, CASE WHEN status = 'ok' THEN grant_rows END AS grant_rows,
-  CASE WHEN status = 'ok' THEN officer_rows END AS officer_rows, {", ".join(f"CASE WHEN status = 'ok' THEN 0 END AS {c}" for c in ZERO)}, array_to_string(caveats, '|') AS caveats FROM codes""",
+  CASE WHEN status = 'ok' THEN officer_rows END AS officer_rows, {", ".join(f"CASE WHEN status = 'ok' THEN {rows_sql(names)} END AS {c}" for c, names in CHILD_COUNTS.items())}, array_to_string(caveats, '|') AS caveats FROM codes""",
     "preflight_caveats": f"""WITH {MADE},\n{SAID},\n{CHECKED}
 SELECT return_type, schema_version, split_part(x, ':', 2) AS code, split_part(x, ':', 1) AS severity, count(*) AS files FROM (SELECT return_type, schema_version, unnest(caveats) AS x FROM codes) GROUP BY ALL
 UNION ALL SELECT return_type, schema_version, NULL, NULL, count(*) FROM codes GROUP BY ALL""",

@@ -33,6 +33,16 @@ HEADER = {
     "website": ("ReturnHeader/WebsiteAddressTxt", f"{FILER}/WebsiteAddressTxt", "ReturnData/IRS990PF/StatementsRegardingActyGrp/WebsiteAddressTxt"),
 }
 
+# Who signed, who prepared, and who keeps the books: of its form, or of the whole filing where it hasn't that form.
+SIGNERS = {
+    "signer": ("//PersonNm",), "signer_title": ("//PersonTitleTxt",), "signed": ("//SignatureDt",), "preparer": ("//PreparerPersonNm",), "preparer_firm": ("//PreparerFirmNameBusinessNameLine1Txt",),
+    "ptin": ("//PTIN",), "prepared": ("//PreparationDt",),
+}
+BOOKS = {
+    "books_person": ("//IndividualWithBooksNm|PersonNm",), "books_address": ("//AddressLine1Txt",), "books_city": ("//CityNm",), "books_state": ("//StateAbbreviationCd",), "books_zip": ("//ZIPCd",),
+    "books_phone": ("//PhoneNum",),
+}
+
 # Columns of each main form, beside those that all of them have.
 COMMON = ("address_change_ind", "name_change_ind", "initial_return_ind", "final_return_ind", "amended_return_ind", "application_pending_ind", "website_address_txt")
 PUBLIC = (
@@ -114,11 +124,11 @@ SIGNALS = (*TO_ORGANIZATIONS, *TO_INDIVIDUALS, *GRANT_AMOUNTS)
 
 #: Header, forms and child tables of a filing. The amounts of form EZ's two balance groups are the first of that form, whichever group they are in.
 FILING = Layout(
-    header=HEADER | {tag: (f"//{tag}",) for tag in SIGNALS},
+    header=HEADER | SIGNERS | BOOKS | {tag: (f"//{tag}",) for tag in SIGNALS},
     required=("return_type", "tax_year", "ein"),
     sections={
-        "f990": ("//IRS990", anywhere(*COMMON, *PUBLIC, *FORM_990)),
-        "ez": ("//IRS990EZ", anywhere(*COMMON, *PUBLIC, *FORM_EZ)),
+        "f990": ("//IRS990", anywhere(*COMMON, *PUBLIC, *FORM_990) | BOOKS),
+        "ez": ("//IRS990EZ", anywhere(*COMMON, *PUBLIC, *FORM_EZ) | BOOKS),
         "pf": ("//IRS990PF", anywhere(*COMMON, *FORM_PF)),
         "sc": ("//IRS990ScheduleC", schedule_c(*SCHEDULE_C)),
     },

@@ -143,7 +143,7 @@ def parse(content: bytes, layout: Layout) -> tuple[dict[str, str | None], dict[s
     """Header; sections, and rows of each group without all-blank ones; an error where the filing is unusable."""
     try:
         root = ElementTree.fromstring(content)
-    except ElementTree.ParseError as e:
+    except (ElementTree.ParseError, TypeError) as e:  # also no content at all
         return {}, {}, f"not XML: {e}"
     whole = Below(root)
     header = whole.values(layout.header)
