@@ -143,6 +143,9 @@ def earliest(segs: list[np.ndarray], docs: np.ndarray, window: int, step: int) -
 def anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """The segments of every document: anchor, a hash of the words, and where they lie."""
 
+    key = docs.schema["doc_id"].dataType.simpleString()
+    kind = np.int64 if key == "bigint" else object
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
@@ -153,21 +156,22 @@ def anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 a, start, count = segments(h, window, anchor)
                 raw = memoryview(h).cast("B") if len(h) else b""
                 content = [xxhash.xxh3_64_intdigest(raw[8 * s : 8 * (s + n + window - 1)]) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
-                out.append((np.full(len(a), doc_id), a.astype(np.int64), np.array(content, U64).astype(np.int64), start, count))
+                out.append((np.full(len(a), doc_id, kind), a.astype(np.int64), np.array(content, U64).astype(np.int64), start, count))
                 if len(out) >= 2000:
                     yield pd.DataFrame(dict(zip(("doc_id", "anchor", "content", "start", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
                     out = []
             if out:
                 yield pd.DataFrame(dict(zip(("doc_id", "anchor", "content", "start", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, anchor long, content long, start int, n int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {key}, anchor long, content long, start int, n int")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, step: int = STEP) -> DataFrame:
     """(doc_id, spans): stretches of words, [start, end), covered by windows that an earlier document has.
 
-    Windows are `window` words, a multiple of `step`. Spans of one document may overlap.
+    Windows are `window` words, a multiple of `step`. Spans of one document may overlap. doc_id may be of any type that has an order.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     cut = written(anchored(docs, window, anchor))
     several = cut.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("anchor")
     shared = written(cut.join(several, "anchor"))
@@ -188,17 +192,18 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
         segs = [np.fromiter(map(hashes.__getitem__, w), U64, len(w)) for w in map(bytes.split, pdf["words"])]
-        found = earliest(segs, pdf["first"].to_numpy(), window, step)
+        places = np.unique(pdf["first"].to_numpy(), return_inverse=True)[1]  # ids of any type, in their order
+        found = earliest(segs, places, window, step)
         early = []
-        for least, first in zip(found, pdf["first"], strict=True):
+        for least, first in zip(found, places, strict=True):
             on = np.flatnonzero(least < first)
             cuts = np.flatnonzero(np.diff(on) > 1)
             early.append([{"a": int(a), "b": int(b) + window} for a, b in zip(on[np.concatenate([[0], cuts + 1])], on[np.concatenate([cuts, [len(on) - 1]])], strict=True)] if len(on) else [])
         return pdf[["anchor", "content", "n", "first"]].assign(early=early)
 
     texts = docs.select("doc_id", "text")
-    sliced = texts.join(by_doc, texts["doc_id"] == by_doc["first"]).select("first", "text", "cuts").mapInPandas(slices, "anchor long, content long, n int, first long, words binary")
-    judged = sliced.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(search, "anchor long, content long, n int, first long, early array<struct<a:int,b:int>>")
+    sliced = texts.join(by_doc, texts["doc_id"] == by_doc["first"]).select("first", "text", "cuts").mapInPandas(slices, f"anchor long, content long, n int, first {id_type}, words binary")
+    judged = sliced.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(search, f"anchor long, content long, n int, first {id_type}, early array<struct<a:int,b:int>>")
     # a later document repeats the whole segment; the first one what still earlier ones have
     own = F.transform("early", lambda e: F.struct((F.col("start") + e["a"]).alias("a"), (F.col("start") + e["b"]).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b")))

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 
 from filigree.llm import substrings
@@ -31,6 +33,15 @@ def test_same_as_brute_force(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
+def test_ids_of_other_types(spark):
+    shared = prose(7, 70)
+    texts = [f"{prose(400 + k, 40)} {shared} {prose(500 + k, 60)}" for k in range(3)] + ["é", None]
+    for kind, ids in (("string", ["b", "é", "a", "c", None]), ("int", [5, 9, 2, 7, None]), ("date", [datetime.date(2020, 1, d) for d in (5, 9, 2, 7, 8)])):
+        rows = list(zip(ids, texts, strict=True))
+        got = [tuple(r) for r in substrings.without_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()]
+        assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
 def test_no_documents(spark):
     assert substrings.without_repeats(frame(spark, [])).count() == 0
 
