@@ -130,12 +130,12 @@ def in_care_of() -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("name="), F.col("header.in_care_of_name")), *parts)
 
 
-def people_search(filings: DataFrame, person: str, fuzzy: bool = True, state: str | None = None, years: tuple[int | None, int | None] = (None, None), max_rows: int = 5000) -> DataFrame:
+def people_search(filings: DataFrame, person: str, fuzzy: bool = True, state: str | None = None, years: tuple[int | None, int | None] = (None, None), max_rows: int | None = 5000) -> DataFrame:
     """filing_id, ein, org_name, tax_year, found_in, detail: by ein, latest year first, source, detail; each row once, at most max_rows.
 
     Names match whole, or anywhere with `fuzzy`, whatever the case; % and _ are wildcards. A blank person finds nothing. With one year given that year
     alone counts. The sources take the budget in their order, within one by ein, latest year, id and detail. Sources of a filing become one array, so
-    filings are read once; only the budget's rows are sorted.
+    filings are read once; only the budget's rows are sorted. Without a budget (None) all hits are kept, by a distributed sort.
     """
     pattern = person.strip().upper().replace("\\", "\\\\")
     pattern = f"%{pattern}%" if fuzzy else pattern
@@ -155,5 +155,5 @@ def people_search(filings: DataFrame, person: str, fuzzy: bool = True, state: st
     asked = asked.where(F.col("header.state") == state.strip().upper()) if state else asked
     asked = asked.where(year.between(low, high)) if low else asked
     rows = asked.select(filing_id().alias("filing_id"), "header.ein", "header.org_name", year.alias("tax_year"), F.explode(found).alias("hit")).select("filing_id", "ein", "org_name", "tax_year", "hit.*")
-    budget = rows.orderBy("no", "ein", F.desc("tax_year"), "filing_id", "detail").limit(max_rows)
+    budget = rows if max_rows is None else rows.orderBy("no", "ein", F.desc("tax_year"), "filing_id", "detail").limit(max_rows)
     return budget.drop("no").distinct().orderBy("ein", F.desc("tax_year"), "found_in", "detail", "filing_id")

@@ -48,7 +48,7 @@ def preflight(filings: DataFrame) -> DataFrame:
     """One row per file: identity, status (ok, parse_error, missing_required_header), forms found, rows of each kind, caveats.
 
     caveats: array of (code, severity) in the order of the checks. Files that can't be read have that caveat only and no
-    counts. A projection without shuffle; count codes with `caveat_counts`.
+    counts. That a care-of name of the filer is lost can't occur, since the header reads it. A projection without shuffle; count codes with `caveat_counts`.
     """
     kind, version, ok = F.col("header.return_type"), F.nullif(F.col("header.schema_version"), F.lit("")), F.col("error").isNull()
     forms = F.filter(F.array(*(F.when(F.col(s).isNotNull(), F.lit(f)) for f, s in FORMS.items())), lambda f: f.isNotNull())

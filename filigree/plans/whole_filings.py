@@ -112,8 +112,8 @@ PERSON, YEARS = "da 1_", (1993, 1996)
 
 
 def people_search(spark: SparkSession, d: str) -> DataFrame:
-    """With a budget that holds every hit."""
-    return search.people_search(filings(spark, d), PERSON, fuzzy=True, state="ca", years=YEARS, max_rows=2_000_000_000)
+    """Without a budget: every hit."""
+    return search.people_search(filings(spark, d), PERSON, fuzzy=True, state="ca", years=YEARS, max_rows=None)
 
 
 def preflight(spark: SparkSession, d: str) -> DataFrame:
