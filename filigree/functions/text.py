@@ -183,15 +183,19 @@ def reported_id_reason(c: Column) -> Column:
     )
 
 
-def unspecific_recipient(c: Column) -> Column:
-    """The reason of the first pattern that the normalised name fits, else empty."""
-    name = matcher_name(c)
+def unspecific_name(name: Column) -> Column:
+    """The reason of the first pattern that a name as matcher_name gives it fits, else empty."""
     out = F.when(name.rlike(UNSPECIFIC_RECIPIENTS[0][0]), UNSPECIFIC_RECIPIENTS[0][1])
     for pattern, reason in UNSPECIFIC_RECIPIENTS[1:]:
         out = out.when(name.rlike(pattern), reason)
     return out.otherwise("")
 
 
+def unspecific_recipient(c: Column) -> Column:
+    """The reason of the first pattern that the normalised name fits, else empty."""
+    return unspecific_name(matcher_name(c))
+
+
 def name_tokens(name: Column) -> Column:
     """Distinct words of three letters or more that aren't stop words, in order."""
     return F.array_distinct(F.filter(F.split(name, " "), lambda t: (F.length(t) >= 3) & ~t.isin(*NAME_STOPWORDS)))
