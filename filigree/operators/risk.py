@@ -64,5 +64,5 @@ def score(indicators: DataFrame) -> DataFrame:
 
 
 def audit_threshold(fiscal_start: Column) -> Column:
-    """Federal spending from which an audit is due."""
-    return F.when(fiscal_start >= F.lit("2024-10-01").cast("date"), 1_000_000).otherwise(750_000)
+    """Federal spending from which an audit is due; null where the start isn't known."""
+    return F.when(fiscal_start >= F.lit("2024-10-01").cast("date"), 1_000_000).when(fiscal_start.isNotNull(), 750_000)
