@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Field:
-    """A column: kind is int, number, date or text. Only text can hold pipes."""
+    """A column: kind is int, number, date, timestamp, code or text. Only text can hold pipes."""
 
     name: str
     kind: str
@@ -29,10 +29,20 @@ def _is_date(v: str) -> bool:
     return len(v) == 10
 
 
+def _is_timestamp(v: str) -> bool:
+    try:
+        datetime.fromisoformat(v)
+    except ValueError:
+        return False
+    return True
+
+
 FITS: dict[str, Callable[[str], bool]] = {
     "int": lambda v: re.fullmatch(r"[-+]?\d+", v) is not None,
     "number": lambda v: re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)", v) is not None,
     "date": _is_date,
+    "timestamp": _is_timestamp,
+    "code": lambda v: True,
     "text": lambda v: True,
 }
 
@@ -101,7 +111,7 @@ def parsed(raw: DataFrame, fields: Sequence[Field]) -> DataFrame:
             rows = [[*(v or [None] * len(fields)), n if v else None, None if v else n] for v, n in out]
             yield pd.DataFrame(rows, columns=[*(f.name for f in fields), "repair", "error"])
 
-    kinds = {"int": "bigint", "number": "double", "date": "date", "text": "string"}
+    kinds = {"int": "bigint", "number": "double", "date": "date", "timestamp": "string", "code": "string", "text": "string"}
     text = raw.select("value").mapInPandas(run, f"{schema}, repair string, error string")
     return text.select(*(F.nullif(F.trim(f.name), F.lit("")).try_cast(kinds[f.kind]).alias(f.name) for f in fields), "repair", "error")
 
