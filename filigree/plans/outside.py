@@ -42,7 +42,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 def additional(spark: SparkSession, d: str) -> DataFrame:
     """Further numbers; some reports name their own number again, some aren't there."""
     o = table(spark, d, "orders").where("o_orderkey % 6 = 0")
-    return o.select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("report_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + F.col("o_orderkey") % 4).alias("additional_ein"))
+    return o.select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("report_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + F.col("o_orderkey") % 4).alias("additional_ein"))
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +129,7 @@ def risk_outside_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT 'awards' AS part, l_orderkey AS r FROM lineitem UNION ALL SELECT 'additional_eins', CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'texts', CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END FROM part)
+    """WITH d AS (SELECT 'awards' AS part, l_orderkey AS r FROM lineitem UNION ALL SELECT 'additional_eins', CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'texts', CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END FROM part)
 SELECT 'reports' AS part, e.era, CAST(min(year(o_orderdate)) AS BIGINT) AS first_year, CAST(max(year(o_orderdate)) AS BIGINT) AS last_year, count(o_orderkey) AS n, CAST(NULL AS BIGINT) AS n_orphans
   FROM (VALUES ('current'), ('historic')) e(era) LEFT JOIN orders ON (year(o_orderdate) >= 1995) = (era = 'current') GROUP BY e.era
 UNION ALL SELECT part, '', NULL, NULL, count(*), count(*) FILTER (o_orderkey IS NULL) FROM d LEFT JOIN orders ON o_orderkey = r GROUP BY part
