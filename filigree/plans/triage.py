@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import triage
+from filigree.sources import decision_files
 from filigree.plans.roles import table
 
 QUERIES, ORACLES = {}, {}
@@ -109,3 +110,32 @@ def reported_number_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """With review wherever it may be asked for, contradictions allowed and disagreeing names passed on."""
     decided = triage.triaged(signatures(spark, d), identities(spark, d), candidates(spark, d), contradictions=True, placeholder="human_review", invalid="human_review", unsafe="ollama", unverified="human_review")
     return triage.outcomes(decided)
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as answers from elsewhere: flat, wrapped as an object or as a text, with other names, or without a signature."""
+    k = F.col("o_orderkey")
+    sig, conf = F.concat(F.lit("S"), (k % 5000).cast("string")), (k % 11 / 10).cast("decimal(3,1)").cast("string")
+    answer = F.concat(F.lit('{"decision": "SELECT_CANDIDATE", "candidate_id": "C'), (k % 4).cast("string"), F.lit('", "confidence": '), conf, F.lit(', "reason_codes": ["a", " ", "b c"], "needs_human_review": false}'))
+    flat = F.create_map(F.lit("id"), sig, F.lit("decision"), F.lit(" NO_MATCH "), F.lit("confidence"), F.when(k % 2 == 0, "high").otherwise(conf), F.lit("reason_codes_json"), F.lit("x; y|,z"), F.lit("needs_human_review"), F.when(k % 3 == 0, "No").otherwise("perhaps"))
+    none = F.create_map(F.lit("signature"), F.lit(" "), F.lit("decision"), F.lit("AMBIGUOUS"), F.lit("output"), F.lit("text"))
+    wrapped = F.create_map(F.lit("signature_hash"), sig, F.lit("output"), answer, F.lit("decision"), F.lit("ignored"))
+    return table(spark, d, "orders").select(k, F.when(k % 4 == 0, flat).when(k % 4 == 1, none).otherwise(wrapped).alias("record"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS v, 'S' || (o_orderkey % 5000) AS s, CAST(o_orderkey % 11 / 10.0 AS DOUBLE) AS conf FROM orders),
+o AS (SELECT CASE WHEN v = 1 THEN '' ELSE s END AS signature, CASE v WHEN 0 THEN 'NO_MATCH' WHEN 1 THEN 'AMBIGUOUS' ELSE 'SELECT_CANDIDATE' END AS decision, CASE WHEN v >= 2 THEN 'C' || (k % 4) ELSE '' END AS candidate_id,
+  CASE WHEN v >= 2 THEN conf END AS confidence, CASE WHEN v = 0 THEN 'x,y,z' WHEN v = 1 THEN '' ELSE 'a,b c' END AS reason_codes, CASE WHEN v >= 2 OR (v = 0 AND k % 3 = 0) THEN 0 ELSE 1 END::INTEGER AS needs_human_review FROM r),
+c AS (SELECT 'S' || c_custkey AS signature, 'C' || (c_custkey % 3) AS candidate_id, c_custkey + 200000000 AS ein FROM customer),
+e AS (SELECT 'S' || s_suppkey AS signature FROM supplier)
+SELECT o.signature, decision, o.candidate_id, confidence, reason_codes, needs_human_review, c.ein AS selected_ein,
+  CASE WHEN o.signature = '' THEN 'missing_signature_hash' WHEN o.signature NOT IN (SELECT 'S' || c_custkey FROM customer) THEN 'signature_not_found' WHEN o.signature IN (SELECT signature FROM e) THEN 'skipped_existing' ELSE 'new' END AS import_status
+FROM o LEFT JOIN c ON c.signature = o.signature AND c.candidate_id = o.candidate_id"""
+)
+def decisions_imported(spark: SparkSession, d: str) -> DataFrame:
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    known = table(spark, d, "customer").select(F.concat(F.lit("S"), c.cast("string")).alias("signature"), F.concat(F.lit("C"), (c % 3).cast("string")).alias("candidate_id"), (c + 200_000_000).alias("ein"))
+    decided = table(spark, d, "supplier").select(F.concat(F.lit("S"), s.cast("string")).alias("signature"))
+    out = decision_files.imported(decision_files.decisions(records(spark, d)), known, known, decided)
+    return out.select("signature", "decision", "candidate_id", "confidence", F.array_join("reason_codes", ",").alias("reason_codes"), "needs_human_review", "selected_ein", "import_status")
