@@ -58,23 +58,25 @@ def best_identities(identities: DataFrame) -> DataFrame:
     return known.groupBy("ein").agg(F.min_by(F.struct("display_name", "name_norm", "source"), order).alias("r")).select("ein", "r.*")
 
 
-def own_candidates(asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The first candidate, by rank, of each signature of asked (signature, ein) that has its number, and whether its place is that of the signature."""
+def own_candidates(candidates: DataFrame) -> DataFrame:
+    """The first candidate, by rank, of each signature and number, and whether its place is that of the signature."""
     placed = ((F.col("exact_address") == 1) | (F.col("address_score") >= LEAST_ADDRESS)) & (F.col("reported_ein_match") == 1) & ((F.col("zip_match") == 1) | (F.col("city_state_match") == 1))
-    met = candidates.withColumn("ein", digits9(F.col("ein"))).join(asked.select("signature", "ein"), ["signature", "ein"])
+    numbered = candidates.withColumn("ein", digits9(F.col("ein"))).where("ein <> ''")
     first = F.min_by(F.struct("candidate_id", "candidate_name", F.coalesce(F.col("exact_address") == 1, F.lit(False)).alias("exact"), F.coalesce(placed, F.lit(False)).alias("placed")), F.struct("candidate_rank", "candidate_id"))
-    return met.groupBy("signature").agg(first.alias("own"))
+    return numbered.groupBy("signature", "ein").agg(first.alias("own"))
 
 
-def evidence(rows: DataFrame, identities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(signature, identity, own, name_score) of rows (signature, ein, name_norm) whose number may count.
+def with_evidence(rows: DataFrame, counts: Column, identities: DataFrame, candidates: DataFrame) -> DataFrame:
+    """rows (signature, ein, name_norm) with identity, own and name_score where the number counts, null elsewhere.
 
-    Rows without such a number take no part, so they are no hot key; a number that very many rows report is
-    joined with one row, which adaptive execution splits.
+    A row whose number doesn't count asks for a key of its own that nothing has, so such rows are spread and no hot key; a number
+    that very many rows report is joined with one row, which adaptive execution splits.
     """
-    best = best_identities(identities).select("ein", F.struct("display_name", "name_norm", "source").alias("identity"))
-    known = rows.join(best, "ein", "left").join(own_candidates(rows, candidates), "signature", "left")
-    return known.select("signature", "identity", "own", ratio(F.col("name_norm"), F.coalesce("identity.name_norm", F.lit(""))).alias("name_score"))
+    asked = rows.withColumn("__ask", F.when(counts, F.col("ein")).otherwise(F.concat(F.lit("-"), F.col("signature").cast("string"))))
+    best = best_identities(identities).select(F.col("ein").alias("__ask"), F.struct("display_name", "name_norm", "source").alias("identity"))
+    own = own_candidates(candidates).withColumnRenamed("ein", "__ask")
+    known = asked.join(best, "__ask", "left").join(own, ["signature", "__ask"], "left").drop("__ask")
+    return known.withColumn("name_score", ratio(F.col("name_norm"), F.coalesce("identity.name_norm", F.lit(""))))
 
 
 def triaged(
@@ -108,8 +110,7 @@ def triaged(
     )
     rows = settled(rows.withColumn("nobody", unspecific_name(F.col("name_norm"))))
     counts = (F.col("nobody") == "") & (F.col("validity") == "ok") & (F.lit(contradictions) | ~F.col("hard"))
-    found = evidence(rows.where(counts).select("signature", "ein", "name_norm"), identities, candidates)
-    both = rows.join(found, "signature", "left")
+    both = with_evidence(rows, counts, identities, candidates)
 
     identity, own, score = F.col("identity"), F.col("own"), F.col("name_score")
     none, kept_id = F.lit(""), F.coalesce(own["candidate_id"], F.lit("REPORTED_EIN"))
