@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filigree import plans
-from filigree.operators import retrieval
+from filigree.operators import retrieval, screening
 
 
 def rows_shuffled(spark, df):
@@ -30,3 +30,10 @@ def test_parts_of_the_same_name_are_compared_once(spark, tmp_path):
     spark.range(3000).select(F.col("id").alias("p_partkey"), F.lit("T").alias("p_type"), F.lit(1).alias("p_size"), name.alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
     n, shuffled = rows_shuffled(spark, plans.QUERIES["fuzzy_resolution"](spark, str(tmp_path)))
     assert n == 3000 and shuffled < 12_000
+
+
+def test_screened_pairs_are_not_shuffled(spark):
+    wanted = spark.range(600).select("id", F.lit("N1").alias("name_norm"))
+    entities = spark.range(300).select(F.col("id").alias("entity_id"), F.lit("N1").alias("name_norm"))
+    n, shuffled = rows_shuffled(spark, screening.name_candidates(wanted, entities, entities))
+    assert n == 180_000 and shuffled < 5000
