@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filigree import plans
-from filigree.operators import retrieval, screening
+from filigree.operators import retrieval, screening, union_match
 
 
 def rows_shuffled(spark, df):
@@ -37,3 +37,41 @@ def test_screened_pairs_are_not_shuffled(spark):
     entities = spark.range(300).select(F.col("id").alias("entity_id"), F.lit("N1").alias("name_norm"))
     n, shuffled = rows_shuffled(spark, screening.name_candidates(wanted, entities, entities))
     assert n == 180_000 and shuffled < 5000
+
+
+def same_name(spark, n):
+    """Unions and filers of one name; the filers are all in another place but those of unions 0 to 9."""
+    orgs = spark.range(n).select(F.col("id").alias("f_num"), F.lit("Acme Local 1").alias("display_name"), F.lit("").alias("union_name"), F.lit("").alias("unit_name"), F.lit("").alias("city"), F.lit("").alias("state"), (F.col("id") + 10000).cast("string").alias("zip"))
+    place = F.when(F.col("id") < 10, F.col("id") + 10000).otherwise(F.lit(54321)).cast("string")
+    returns = spark.range(n).select(F.col("id").cast("string").alias("ein"), F.lit("Acme Local 1").alias("org_name"), F.lit("").alias("dba_name"), F.lit("c").alias("city"), F.lit("s").alias("state"), place.alias("zip"))
+    overrides = spark.createDataFrame([(1, "0", "reject", "0", ""), (2, "1", "unmatch", "", ""), (3, "20", "accept", "7", "")], "seq long, f_num string, action string, ein string, note string")
+    return orgs, union_match.identity_candidates(returns, union_match.name_variants(orgs)), overrides
+
+
+def test_accepted_matches_make_no_other_pairs(spark):
+    orgs, candidates, overrides = same_name(spark, 300)
+    out = union_match.accepted_matches(orgs, candidates, overrides)
+    wanted = union_match.accepted(union_match.matched(orgs, candidates, overrides))
+    assert sorted(out.collect(), key=str) == sorted(wanted.select(out.columns).collect(), key=str)
+    n, shuffled = rows_shuffled(spark, out)
+    assert n == 9 and shuffled < 30_000 < 300 * 300
+
+
+def test_counterparties_of_a_frequent_name_meet_ends_only(spark):
+    _, candidates, _ = same_name(spark, 300)
+    parties = spark.range(400).select(F.col("id").alias("counterparty_id"), F.lit(candidates.first()["name_norm"]).alias("canonical_name_norm"), F.when(F.col("id") < 5, F.col("id") + 10000).otherwise(F.lit(54321)).cast("string").alias("zip5"), F.lit("").alias("city"), F.lit("").alias("state"))
+    n, shuffled = rows_shuffled(spark, union_match.counterparty_matches(parties, candidates))
+    assert n == 5 and shuffled < 10_000 < 395 * 290
+
+
+def test_candidates_are_compared_in_many_tasks(spark):
+    """A nation's pairs, which are many for two small tables, are made by more tasks than the tables have parts."""
+    store = spark._jsc.sc().statusStore()
+
+    def tasks():
+        found = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).numTasks() for i in range(found.size())}
+
+    before = tasks()
+    assert plans.QUERIES["candidate_scoring"](spark, "/root/testdata/sf0.01").count() == 1500
+    assert max(n for i, n in tasks().items() if i not in before) >= 4 * spark.sparkContext.defaultParallelism
