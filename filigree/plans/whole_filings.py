@@ -91,21 +91,21 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return orders.withColumns({"g": F.expr(GROUPS), "r": F.expr(SCHEDULE_R)}).select(F.format_string("/in/%d.xml", "k").alias("path"), F.expr(XML).cast("binary").alias("content"))
 
 
-def filings(spark: SparkSession, d: str, *parts: str) -> DataFrame:
-    return xml_filing.parse_filings(files(spark, d), layouts.FILING.only(*parts) if parts else layouts.FILING)
+def filings(spark: SparkSession, d: str, *parts: str, header: Sequence[str] | None = None) -> DataFrame:
+    return xml_filing.parse_filings(files(spark, d), layouts.FILING.only(*parts, header=header) if parts else layouts.FILING)
 
 
 def core_data(spark: SparkSession, d: str) -> DataFrame:
-    return core.core_data(filings(spark, d, "f990", "ez", "pf", "sc"))
+    return core.core_data(filings(spark, d, "f990", "ez", "pf", "sc", header=core.HEADER))
 
 
 def part_seven_people(spark: SparkSession, d: str) -> DataFrame:
-    return core.people(filings(spark, d, "part_vii"))
+    return core.people(filings(spark, d, "part_vii", header=()))
 
 
 def schedule_r_related(spark: SparkSession, d: str) -> DataFrame:
     """Of the filings that count, unrelated partnerships included."""
-    return related.schedule_r(core.canonical(filings(spark, d, *related.GROUPS)), unrelated=True)
+    return related.schedule_r(core.canonical(filings(spark, d, *related.GROUPS, header=("return_ts", "amended"))), unrelated=True)
 
 
 PERSON, YEARS = "da 1_", (1993, 1996)

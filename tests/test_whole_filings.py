@@ -125,3 +125,19 @@ def test_element_paths(spark):
     rows = [("a", bytearray(b'<R version="1"><x>1</x><x/></R>')), ("b", bytearray(b'<R version="1"><x> </x></R>')), ("c", bytearray(b"<R/>")), ("d", bytearray(b"<")), ("e", None)]
     got = {(r.version, r.path): (r.filings, r.filled, r.files) for r in xml_filing.element_paths(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert got == {("1", "/R"): (2, 0, 2), ("1", "/R/x"): (2, 1, 2), ("", "/R"): (1, 0, 1)}
+
+
+def test_only_what_a_filing_has_is_looked_for(monkeypatch):
+    """A layout's columns are many, a filing's elements few."""
+    looked, at = [], xml_filing.Below.at
+    monkeypatch.setattr(xml_filing.Below, "at", lambda self, path: looked.append(path) or at(self, path))
+    people = "<Form990PartVIISectionAGrp><PersonNm>Ada</PersonNm></Form990PartVIISectionAGrp>"
+    text = filing("990", f"<IRS990><AmendedReturnInd>X</AmendedReturnInd><WebsiteAddressTxt>w</WebsiteAddressTxt>{people}</IRS990>").encode()
+    header, found, error = xml_filing.parse(text, layouts.FILING)
+    assert error is None and list(header) == list(layouts.FILING.header) and (header["amended"], header["schema_version"], header["website"]) == ("X", "2017v2.3", None)
+    assert found["f990"]["website_address_txt"] == "w" and found["part_vii"][0]["person_name"] == "Ada" and len(found["part_vii"][0]) == len(layouts.OFFICERS)
+    assert len(looked) < 30
+    least = layouts.FILING.only("part_vii", header=("amended",))
+    assert xml_filing.parse(text, least) == ({c: header[c] for c in ("return_type", "tax_year", "ein", "amended")}, {"part_vii": found["part_vii"]}, None)
+    mixed = xml_filing.Layout(header={"a": ("x/*/y", "@v"), "b": ("//P//C|D",), "c": ("*",), "d": ("X/y",)})
+    assert xml_filing.parse(b'<r v="1"><x><q><y> 2 </y></q></x><P><t><d>3</d></t></P><z>4</z></r>', mixed)[0] == {"a": "2", "b": "3", "c": "4", "d": None}
