@@ -40,18 +40,20 @@ LAYOUT = xml_filing.Layout(
 )
 
 
-def parsed_filings(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.expr(FILING).cast("binary").alias("content"))
-    return xml_filing.parse_filings(files, LAYOUT)
+def parsed_filings(spark: SparkSession, d: str, layout: xml_filing.Layout) -> DataFrame:
+    """Keys are dealt out before filings are made of them: parsing costs far more than the few bytes that a split is cut by."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    files = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.expr(FILING).cast("binary").alias("content"))
+    return xml_filing.parse_filings(files, layout)
 
 
 def filings_parsed(spark: SparkSession, d: str) -> DataFrame:
     wanted = ("ein", "tax_year", "total_direct_lobbying_amt", "total_lobbying_expend_grp_amt", "total_grassroots_lobbying_amt", "form1120_pol_filed_ind")
-    return parsed_filings(spark, d).select("path", *(f"header.{c}" for c in wanted), "error")
+    return parsed_filings(spark, d, LAYOUT.only()).select("path", *(f"header.{c}" for c in wanted), "error")
 
 
 def grant_rows_parsed(spark: SparkSession, d: str) -> DataFrame:
-    good = parsed_filings(spark, d).where("error is null").select(F.col("path").alias("filing_id"), F.posexplode("grants").alias("row_no", "row")).select("filing_id", "row_no", "row.*")
+    good = parsed_filings(spark, d, LAYOUT.only("grants", header=())).where("error is null").select(F.col("path").alias("filing_id"), F.posexplode("grants").alias("row_no", "row")).select("filing_id", "row_no", "row.*")
     return xml_filing.without_placeholders(good).select("filing_id", "recipient_ein", "cash_grant_amt", "zipcd")
 
 

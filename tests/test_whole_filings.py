@@ -141,3 +141,10 @@ def test_only_what_a_filing_has_is_looked_for(monkeypatch):
     assert xml_filing.parse(text, least) == ({c: header[c] for c in ("return_type", "tax_year", "ein", "amended")}, {"part_vii": found["part_vii"]}, None)
     mixed = xml_filing.Layout(header={"a": ("x/*/y", "@v"), "b": ("//P//C|D",), "c": ("*",), "d": ("X/y",)})
     assert xml_filing.parse(b'<r v="1"><x><q><y> 2 </y></q></x><P><t><d>3</d></t></P><z>4</z></r>', mixed)[0] == {"a": "2", "b": "3", "c": "4", "d": None}
+
+
+def test_small_files_are_parsed_by_all_tasks(spark):
+    from filigree.plans import ingest
+
+    made = ingest.filings_parsed(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and "grants" not in made._jdf.queryExecution().analyzed().toString()
