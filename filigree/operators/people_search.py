@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.core_data import filing_id, mark, named_people, number
+from filigree.sources import layouts
 
 Read = Callable[[Column], Column]
 
+#: Parts of a filing in which people are looked for, and columns of the header.
+PARTS = ("f990", "ez", "part_vii", "contractors", "grants", "ez_officers", "schedule_j", "pf_officers", "l_business", "l_excess_benefit", "l_grants", "l_loans")
+HEADER = ("ein", "org_name", "tax_year", "state", "city", "zip", "us_address_line1", "in_care_of_name", *layouts.SIGNERS, *layouts.BOOKS)
+
 
 def words(c: Column) -> Column:
     """An amount as a text with a decimal point, anything else as it is."""

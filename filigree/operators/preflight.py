@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.core_data import filing_id, main_form, mark, named_people, nonzero_or, number, short_form
-from filigree.sources.layouts import CONTRIBUTIONS_PAID, GRANT_AMOUNTS, GRANTS, TO_INDIVIDUALS, TO_ORGANIZATIONS
+from filigree.sources.layouts import CHILDREN, CONTRIBUTIONS_PAID, GRANT_AMOUNTS, GRANTS, SIGNALS, TO_INDIVIDUALS, TO_ORGANIZATIONS
 
 # Forms that are read, and their versions that have been seen to work.
 FORMS = {"990": "f990", "990EZ": "ez", "990PF": "pf"}
 VERSIONS = ("2014v6.0", "2015v3.0", "2016v3.0", "2016v3.1", "2017v2.0", "2017v2.2", "2017v2.3")
+#: Parts of a filing that are counted or looked at, and columns of the header.
+PARTS = ("f990", "ez", "pf", "sc", "grants", "contractors", "part_vii", *(c for c in CHILDREN if c != "schedule_j"))
+HEADER = ("return_type", "schema_version", "period_end", "ein", "tax_year", *SIGNALS)
 ERRORS = ("parse_error", "missing_required_header", "unsupported_return_type", "no_recognized_main_form")
 
 

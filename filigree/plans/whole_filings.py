@@ -113,17 +113,17 @@ PERSON, YEARS = "da 1_", (1993, 1996)
 
 def people_search(spark: SparkSession, d: str) -> DataFrame:
     """Without a budget: every hit."""
-    return search.people_search(filings(spark, d), PERSON, fuzzy=True, state="ca", years=YEARS, max_rows=None)
+    return search.people_search(filings(spark, d, *search.PARTS, header=search.HEADER), PERSON, fuzzy=True, state="ca", years=YEARS, max_rows=None)
 
 
 def preflight(spark: SparkSession, d: str) -> DataFrame:
     codes = F.concat_ws("|", F.transform("caveats", lambda c: F.concat(c["severity"], F.lit(":"), c["code"]))).alias("caveats")
-    checked = checks.preflight(filings(spark, d))
+    checked = checks.preflight(filings(spark, d, *checks.PARTS, header=checks.HEADER))
     return checked.select(*(F.concat_ws("|", c).alias(c) if c == "recognized_forms" else c for c in checked.columns if c != "caveats"), codes)
 
 
 def preflight_caveats(spark: SparkSession, d: str) -> DataFrame:
-    return checks.caveat_counts(checks.preflight(filings(spark, d)))
+    return checks.caveat_counts(checks.preflight(filings(spark, d, *checks.PARTS, header=checks.HEADER)))
 
 
 def element_paths(spark: SparkSession, d: str) -> DataFrame:

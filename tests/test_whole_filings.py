@@ -148,3 +148,19 @@ def test_small_files_are_parsed_by_all_tasks(spark):
 
     made = ingest.filings_parsed(spark, "/root/testdata/sf0.001")
     assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and "grants" not in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_only_names_that_are_asked_for_are_noted():
+    root = xml_filing.ElementTree.fromstring('<R xmlns="u"><a>1</a><b><c>2</c></b><B>3</B></R>')
+    assert set(xml_filing.Below(root, xml_filing.Names(["//b//C", "x/d"])).by_tag) == {"b", "c"}
+    layout = xml_filing.Layout({"c": ("//C",), "first": ("a",)}, groups={"rows": ("//B", {"c": ("//c|z",), "own": ("c",)})})
+    assert set(layout.named) == {"", "rows"} and layout.named["rows"].wanted == {"", "c", "z"}
+    assert xml_filing.parse(b'<R xmlns="u"><a>1</a><b><c>2</c></b><B>3</B></R>', layout) == ({"c": "2", "first": "1"}, {"rows": [{"c": "2", "own": "2"}]}, None)
+
+
+def test_searches_and_checks_read_only_their_parts(spark):
+    text = {"a": filing("990", "<IRS990><PersonNm>Jo</PersonNm></IRS990><Form990PartVIISectionAGrp><PersonNm>Jo</PersonNm></Form990PartVIISectionAGrp>")}
+    for operator, module in ((lambda f: people_search.people_search(f, "jo"), people_search), (preflight.preflight, preflight)):
+        some = layouts.FILING.only(*module.PARTS, header=module.HEADER)
+        assert operator(parsed(spark, text, some)).collect() == operator(parsed(spark, text)).collect()
+        assert len(some.header) < len(layouts.FILING.header) and len(some.groups) < len(layouts.FILING.groups)
