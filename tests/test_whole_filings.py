@@ -164,3 +164,8 @@ def test_searches_and_checks_read_only_their_parts(spark):
         some = layouts.FILING.only(*module.PARTS, header=module.HEADER)
         assert operator(parsed(spark, text, some)).collect() == operator(parsed(spark, text)).collect()
         assert len(some.header) < len(layouts.FILING.header) and len(some.groups) < len(layouts.FILING.groups)
+
+
+def test_paths_of_many_files_leave_their_task_once():
+    counts = xml_filing.path_counts([b'<R myVersion="2"><a>1</a><a/></R>', b"<R", None, b'<R myVersion="2"><a/></R>'] * 50)
+    assert counts == {("2", "/R", True): [100, 0], ("2", "/R/a", False): [100, 50]}
