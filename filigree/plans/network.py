@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators import aggs, compliance, joins, network, risk
+from filigree.operators import aggs, compliance, joins, network, risk, sets
 from filigree.plans import graph
 from filigree.plans.roles import FLOWS, GRANTS, PAIRS, RETURNS, flows, grant_pairs, grants, returns, table, with_
 
@@ -140,7 +140,7 @@ def shared_neighbors(spark: SparkSession, d: str) -> DataFrame:
 )
 def two_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     paths = joins.two_hops(flows(spark, d).select("ein", "recipient", F.col("tax_year").alias("y")), "ein", "recipient", "y")
-    return paths.groupBy("a").agg(F.count("*").alias("n_paths"), F.countDistinct("c").alias("n_ends"))
+    return sets.dealt(paths.select("a", "c"), "a", "c").groupBy("a").agg(F.count("*").alias("n_paths"), F.countDistinct("c").alias("n_ends"))
 
 
 @query(

@@ -75,3 +75,10 @@ def test_candidates_are_compared_in_many_tasks(spark):
     before = tasks()
     assert plans.QUERIES["candidate_scoring"](spark, "/root/testdata/sf0.01").count() == 1500
     assert max(n for i, n in tasks().items() if i not in before) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_paths_are_dealt_before_they_are_grouped(spark):
+    """Pairs of ends hardly repeat within a task, so none are combined before they are dealt."""
+    plan = plans.QUERIES["two_hop_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before_join = plan[: plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin")]
+    assert before_join.rindex("Exchange hashpartitioning(a") > before_join.rindex("HashAggregate")
