@@ -82,3 +82,10 @@ def test_paths_are_dealt_before_they_are_grouped(spark):
     plan = plans.QUERIES["two_hop_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     before_join = plan[: plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin")]
     assert before_join.rindex("Exchange hashpartitioning(a") > before_join.rindex("HashAggregate")
+
+
+def test_looked_up_pairs_are_dealt_before_they_are_made_distinct(spark):
+    """A key's identities times its signatures are made in one task, which must not hold them."""
+    plan = plans.QUERIES["candidate_lookups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before_union = plan[: plan.index("Union")]
+    assert before_union.rindex("Exchange hashpartitioning(signature") > before_union.rindex("HashAggregate")
