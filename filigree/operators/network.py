@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.text import edge_id, network_name
+from filigree.operators.sets import dealt
 
 #: More organisations than this make a target a hub.
 HUB_OVER = {"person": 25, "address": 50, "contractor": 50}
@@ -95,7 +96,7 @@ def integrity_faults(all_edges: DataFrame) -> DataFrame:
 
 def node_stats(all_edges: DataFrame, hub_over: Column | None = None) -> DataFrame:
     """By target: distinct organisations, edges, years, and whether it is a hub (strictly above the limit)."""
-    stats = all_edges.groupBy("target_key").agg(
+    stats = dealt(all_edges.select("target_key", "source_ein", "tax_year"), "target_key", "source_ein").groupBy("target_key").agg(
         F.countDistinct("source_ein").alias("distinct_org_count"), F.count("*").alias("edge_count"), F.min("tax_year").alias("first_tax_year"), F.max("tax_year").alias("last_tax_year")
     )
     return with_hubs(stats, hub_over)

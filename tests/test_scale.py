@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filigree import plans
-from filigree.operators import retrieval, screening, union_match
+from filigree.operators import network, retrieval, screening, union_match
 
 
 def rows_shuffled(spark, df):
@@ -89,3 +89,11 @@ def test_looked_up_pairs_are_dealt_before_they_are_made_distinct(spark):
     plan = plans.QUERIES["candidate_lookups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     before_union = plan[: plan.index("Union")]
     assert before_union.rindex("Exchange hashpartitioning(signature") > before_union.rindex("HashAggregate")
+
+
+def test_edges_are_dealt_before_they_are_counted(spark):
+    edges = spark.range(9).selectExpr("concat('person:', id % 2) AS target_key", "id AS source_ein", "2000 AS tax_year")
+    stats = network.node_stats(edges)
+    assert sorted((r.target_key, r.distinct_org_count, r.edge_count) for r in stats.collect()) == [("person:0", 5, 5), ("person:1", 4, 4)]
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [target_key" in plan
