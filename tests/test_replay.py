@@ -26,3 +26,11 @@ def test_competing_rows_are_placed_as_well_as_can_be(spark):
     assert outcome(spark, source * 2, repaired * 2 + [(1, "a", "3", "5")])[1] == (0, 0, 4, 0, 0, 1, None, "unexplained")
     mixed = outcome(spark, [(1, "a", None, "1"), (1, "a", None, None)], [(1, "a", "0", "1"), (1, "a", "0", "0")])
     assert mixed[1] == (0, 2, 0, 0, 0, 0, None, "explained")
+
+
+def test_columns_are_told_apart(spark):
+    """A separator inside a text doesn't make rows alike whose columns differ."""
+    schema = "filing_id int, name string, other string, cash string"
+    source, repaired = spark.createDataFrame([(1, "x\x1f=y", "z", None)], schema), spark.createDataFrame([(1, "x", "y\x1f=z", "0")], schema)
+    row = replay.explained(source, repaired, ["name", "other", "cash"], filled=["cash"], amount="cash").first()
+    assert (row.n_to_zero, row.left_source, row.left_repaired, row.status) == (0, 1, 1, "unexplained")

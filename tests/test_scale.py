@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filigree import plans
-from filigree.operators import network, retrieval, screening, union_match
+from filigree.operators import network, replay, retrieval, screening, union_match
 
 
 def rows_shuffled(spark, df):
@@ -97,3 +97,12 @@ def test_edges_are_dealt_before_they_are_counted(spark):
     assert sorted((r.target_key, r.distinct_org_count, r.edge_count) for r in stats.collect()) == [("person:0", 5, 5), ("person:1", 4, 4)]
     plan = stats._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [target_key" in plan
+
+
+def test_audited_rows_are_dealt_once(spark):
+    """Each row goes through one shuffle, and one more as part of its filing's sums."""
+    rows = spark.range(3000).select((F.col("id") % 500).alias("filing_id"), F.col("id").cast("string").alias("name"), F.when(F.col("id") % 2 == 0, "5").alias("cash"))
+    out = replay.explained(rows, rows.fillna("7", ["cash"]), ["name", "cash"], filled=["cash"], amount="cash")
+    n, shuffled = rows_shuffled(spark, out)
+    assert n == 500 and shuffled <= 3 * 3000
+    assert {(r.n_equal, r.n_to_number, r.status) for r in out.collect()} == {(6, 0, "equal"), (0, 6, "explained")}
