@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,23 @@ from filigree.operators.sets import dealt
 HUB_OVER = {"person": 25, "address": 50, "contractor": 50}
 
 
-def edges(rows: DataFrame, *, kind: str, source: str, row_id: Column, target: Column, confidence: Column, scored: Column) -> DataFrame:
-    """Edges of one source table, each with an id that follows from its contents."""
-    return rows.select(
-        edge_id(F.lit(source), row_id, F.lit(kind), F.col("ein"), target).alias("edge_id"), F.lit(kind).alias("edge_type"), F.col("ein").alias("source_ein"),
+def edge(*, kind: str | Column, source: str | Column, row_id: Column, target: Column, confidence: Column, scored: Column) -> Column:
+    """The edge of a row (ein, tax_year), with an id that follows from its contents."""
+    kind, source = (c if isinstance(c, Column) else F.lit(c) for c in (kind, source))
+    return F.struct(
+        edge_id(source, row_id, kind, F.col("ein"), target).alias("edge_id"), kind.alias("edge_type"), F.col("ein").alias("source_ein"),
         target.alias("target_key"), F.col("tax_year"), confidence.alias("confidence"), scored.alias("scored"),
-    ).where(F.col("target_key").isNotNull())
+    )
+
+
+def edges_of(rows: DataFrame, *made: Column) -> DataFrame:
+    """All edges with a target that each row makes, from one pass over rows, whose joins and shuffles so happen once."""
+    return rows.select(F.inline(F.array(*made))).where("target_key is not null")
+
+
+def edges(rows: DataFrame, **about: str | Column) -> DataFrame:
+    """Edges of one source table; see edge."""
+    return edges_of(rows, edge(**about))
 
 
 def address_key(*parts: Column) -> Column:
@@ -60,27 +73,44 @@ def grant_edges(rows: DataFrame, *, source: str, row_id: Column) -> DataFrame:
     return edges(rows, kind="grant_paid", source=source, row_id=row_id, target=target, confidence=sure, scored=(F.length(number) == 9) & (sure >= GRANT_CONFIDENCE) & gate)
 
 
+def person_edge(name: Column, *, source: str, row_id: Column) -> Column:
+    """The edge to a person, whose name is in network_name's form: a telling full name counts, others are kept apart."""
+    strong = person_scored(name) & ~name.isin(*NOBODY, "NOT APPLICABLE")
+    return edge(kind="person_role", source=source, row_id=row_id, target=F.when(name != "", F.concat(F.lit("person:"), name)), confidence=F.when(strong, 0.90).otherwise(0.55), scored=strong)
+
+
 def person_edges(rows: DataFrame, *, source: str, row_id: Column) -> DataFrame:
-    """Edges to persons of a table of people (ein, tax_year, name): a telling full name counts, others are kept apart."""
-    named = rows.withColumn("__n", network_name(F.col("name"))).where("__n <> ''")
-    strong = person_scored(F.col("__n")) & ~F.col("__n").isin(*NOBODY, "NOT APPLICABLE")
-    return edges(named, kind="person_role", source=source, row_id=row_id, target=F.concat(F.lit("person:"), "__n"), confidence=F.when(strong, 0.90).otherwise(0.55), scored=strong)
+    """Edges to persons of a table of people (ein, tax_year, name)."""
+    return edges_of(rows.withColumn("__n", network_name(F.col("name"))), person_edge(F.col("__n"), source=source, row_id=row_id))
+
+
+def contractor_edge(name: Column, *, source: str, row_id: Column) -> Column:
+    """The edge to a contractor, whose name is in network_name's form."""
+    strong = (F.length(name) >= 4) & ~name.isin(*NOBODY)
+    return edge(kind="contractor_payment", source=source, row_id=row_id, target=F.when(name != "", F.concat(F.lit("contractor:"), name)), confidence=F.when(strong, 0.88).otherwise(0.50), scored=strong)
 
 
 def contractor_edges(rows: DataFrame, *, source: str, row_id: Column) -> DataFrame:
     """Edges to contractors (ein, tax_year, name)."""
-    named = rows.withColumn("__n", network_name(F.col("name"))).where("__n <> ''")
-    strong = (F.length("__n") >= 4) & ~F.col("__n").isin(*NOBODY)
-    return edges(named, kind="contractor_payment", source=source, row_id=row_id, target=F.concat(F.lit("contractor:"), "__n"), confidence=F.when(strong, 0.88).otherwise(0.50), scored=strong)
+    return edges_of(rows.withColumn("__n", network_name(F.col("name"))), contractor_edge(F.col("__n"), source=source, row_id=row_id))
 
 
-def related_edges(rows: DataFrame, *, kind: str, counts: bool, source: str, row_id: Column) -> DataFrame:
-    """Edges to related organisations (ein, tax_year, related_ein, name1, name2): by number, else by name, which never counts."""
-    number = F.regexp_replace(F.coalesce(F.col("related_ein").cast("string"), F.lit("")), "[^0-9]", "")
+def related_parts(number: str = "related_ein", names: Sequence[str] = ("name1", "name2")) -> tuple[Column, Column]:
+    """A related organisation's number, digits only, and its name in network_name's form."""
+    return F.regexp_replace(F.coalesce(F.col(number).cast("string"), F.lit("")), "[^0-9]", ""), network_name(F.concat_ws(" ", *(F.nullif(F.trim(c), F.lit("")) for c in names)))
+
+
+def related_edge(number: Column, name: Column, *, kind: str | Column, counts: bool | Column, source: str | Column, row_id: Column) -> Column:
+    """The edge to a related organisation: by number, else by name, which never counts."""
     exact = F.length(number) == 9
-    name = network_name(F.concat_ws(" ", *(F.nullif(F.trim(c), F.lit("")) for c in ("name1", "name2"))))
     target = F.when(exact, F.concat(F.lit("ein:"), number)).when(name != "", F.concat(F.lit("schedr-name:"), name))
-    return edges(rows, kind=kind, source=source, row_id=row_id, target=target, confidence=F.when(exact, 1.0).otherwise(0.60), scored=exact & F.lit(counts))
+    return edge(kind=kind, source=source, row_id=row_id, target=target, confidence=F.when(exact, 1.0).otherwise(0.60), scored=exact & (counts if isinstance(counts, Column) else F.lit(counts)))
+
+
+def related_edges(rows: DataFrame, *, kind: str, counts: bool, source: str, row_id: Column) -> DataFrame:
+    """Edges to related organisations (ein, tax_year, related_ein, name1, name2)."""
+    number, name = related_parts()
+    return edges_of(rows.withColumns({"__e": number, "__n": name}), related_edge(F.col("__e"), F.col("__n"), kind=kind, counts=counts, source=source, row_id=row_id))
 
 
 def integrity_faults(all_edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators import aggs, compliance, joins, network, risk, sets
 from filigree.plans import graph
-from filigree.plans.roles import FLOWS, GRANTS, PAIRS, RETURNS, flows, grant_pairs, grants, returns, table, with_
+from filigree.plans.roles import FLOWS, GRANTS, PAIRS, RETURNS, flows, grants, returns, table, with_
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,14 +99,16 @@ EDGES = ",\n".join((
 
 def all_edges(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("recipient")
-    paid = grant_pairs(spark, d).join(returns(spark, d).select("filing_id", "ein", "tax_year"), "filing_id").withColumns({
+    # dealt by the key of the join, which groups pairs as well
+    pairs = sets.dealt(grants(spark, d).select("filing_id", "recipient", "cash"), "filing_id").groupBy("filing_id", "recipient").agg(F.round(F.sum("cash"), 2).alias("amount"))
+    paid = pairs.join(returns(spark, d).select("filing_id", "ein", "tax_year"), "filing_id").withColumns({
         "recipient_ein": F.when(r % 10 != 0, F.lpad(r.cast("string"), 9, "3")), "recipient_name": F.concat(F.lit("Café  Org "), r.cast("string")), "confidence": F.when(F.col("amount") > 50000, 0.9).otherwise(0.7),
         "match_status": F.when(r % 7 == 0, "Unresolved").when(r % 7 == 1, "conflicting_ein_match").otherwise("ein_exact"), "match_source": F.when(r % 3 == 0, "AI_assisted").otherwise("deterministic"),
     })
     grant = network.grant_edges(paid, source="grants", row_id=F.col("filing_id"))
     filers = table(spark, d, "customer").withColumnRenamed("c_custkey", "ein").withColumn("tax_year", F.lit(2000).cast("long"))
     address = network.edges(filers, kind="filed_address", source="filers", row_id=F.col("ein"), target=network.address_key(F.col("c_nationkey").cast("string"), F.col("c_mktsegment")), confidence=F.lit(1.0), scored=F.lit(True))
-    return reduce(DataFrame.unionByName, (grant, graph.people(spark, d), graph.contractors(spark, d), graph.related(spark, d), address))
+    return reduce(DataFrame.unionByName, (grant, graph.line_edges(graph.lines(spark, d)), address))
 
 
 @query(with_(RETURNS, GRANTS, PAIRS, EDGES) + "SELECT edge_id, edge_type, source_ein, target_key, tax_year, confidence, scored FROM edges")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from filigree import plans
 from filigree.operators import network, replay, retrieval, screening, union_match
+from filigree.plans import graph
 
 
 def rows_shuffled(spark, df):
@@ -106,3 +107,23 @@ def test_audited_rows_are_dealt_once(spark):
     n, shuffled = rows_shuffled(spark, out)
     assert n == 500 and shuffled <= 3 * 3000
     assert {(r.n_equal, r.n_to_number, r.status) for r in out.collect()} == {(6, 0, "equal"), (0, 6, "explained")}
+
+
+def test_edges_of_lines_come_from_one_join(spark):
+    """Lines meet their filings once, whatever number of kinds of edges they make; pairs are summed where they are joined."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, shuffled = rows_shuffled(spark, plans.QUERIES["edges_all_sources"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert n > 3 * lines and shuffled <= 2 * (lines + orders)
+
+
+def test_lines_without_a_part_are_of_no_table_of_related_organisations(spark):
+    rows = spark.createDataFrame([(1, 2000, 7, 21, None, 5.0), (1, 2000, 7, 21, 3, 5.0)], "ein long, tax_year long, filing_id long, recipient long, part long, cash double")
+    made = graph.line_edges(rows).collect()
+    assert sorted((r.edge_type, r.target_key) for r in made if r.edge_type.startswith("schedule")) == [("schedule_r_unrelated_taxable_partnership", "ein:120000021")]
+    assert all(r.edge_id and r.edge_type and r.target_key for r in made)
