@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.operators.sets import dealt
+
 
 def bucket(value: Column, bounds: Sequence[float], labels: Sequence[str]) -> Column:
     """The label of the first bound that the value is below; the last label if none is. Null stays null."""
@@ -35,9 +37,10 @@ def reconcile(detail: DataFrame, core: DataFrame, on: Sequence[str], *, floor: f
     )
 
 
-def concentration(df: DataFrame, keys: Sequence[str], part: str, value: str) -> DataFrame:
-    """Total of each key, largest part's sum and its share: sums by part are combined before the shuffle."""
-    parts = df.groupBy(*keys, part).agg(F.sum(value).alias("s"))
+def concentration(df: DataFrame, keys: Sequence[str], part: str, value: str, *, places: int | None = None) -> DataFrame:
+    """Total of each key, largest part's sum and its share. Rows are dealt by key once, for parts as for totals; with places, sums of parts are rounded."""
+    s = F.sum(value) if places is None else F.round(F.sum(value), places)
+    parts = dealt(df.select(*keys, part, value), *keys).groupBy(*keys, part).agg(s.alias("s"))
     return parts.groupBy(*keys).agg(F.sum("s").alias("total"), F.max("s").alias("largest"), F.count("*").alias("n_parts")).withColumn(
         "largest_share", F.when(F.col("total") == 0, 0.0).otherwise(F.col("largest") / F.col("total"))
     )

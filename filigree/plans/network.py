@@ -168,7 +168,7 @@ SHARES = "shares AS (SELECT ein, tax_year, round(sum(amount), 2) AS total, max(a
 
 @query(with_(RETURNS, GRANTS, FLOWS, SHARES) + "SELECT ein, tax_year, total, largest, n_parts, round(CASE WHEN total = 0 THEN 0 ELSE largest / total END, 6) AS largest_share FROM shares")
 def concentration_share(spark: SparkSession, d: str) -> DataFrame:
-    out = aggs.concentration(flows(spark, d), ["ein", "tax_year"], "recipient", "amount")
+    out = aggs.concentration(graph.lines(spark, d), ["ein", "tax_year"], "recipient", "cash", places=2)
     return out.select("ein", "tax_year", F.round("total", 2).alias("total"), "largest", "n_parts", F.round("largest_share", 6).alias("largest_share"))
 
 

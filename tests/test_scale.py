@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filigree import plans
-from filigree.operators import network, replay, retrieval, screening, union_match
+from filigree.operators import aggs, network, replay, retrieval, screening, union_match
 from filigree.plans import graph
 
 
@@ -127,3 +127,13 @@ def test_lines_without_a_part_are_of_no_table_of_related_organisations(spark):
     made = graph.line_edges(rows).collect()
     assert sorted((r.edge_type, r.target_key) for r in made if r.edge_type.startswith("schedule")) == [("schedule_r_unrelated_taxable_partnership", "ein:120000021")]
     assert all(r.edge_id and r.edge_type and r.target_key for r in made)
+
+
+def test_shares_are_dealt_once(spark):
+    """Parts and totals are summed where a key's rows are, so no part of a key is dealt again."""
+    rows = spark.range(3000).select((F.col("id") % 700).alias("ein"), (F.col("id") % 3 + 2000).alias("tax_year"), F.col("id").alias("recipient"), F.lit(0.126).alias("cash"))
+    out = aggs.concentration(rows, ["ein", "tax_year"], "recipient", "cash")
+    n, shuffled = rows_shuffled(spark, out)
+    assert n == 2100 and shuffled <= 3000
+    rounded = aggs.concentration(rows, ["ein"], "recipient", "cash", places=2).where("ein = 0").first()
+    assert (round(rounded.total, 6), rounded.largest, rounded.n_parts) == (0.65, 0.13, 5)
