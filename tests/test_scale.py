@@ -131,9 +131,11 @@ def test_lines_without_a_part_are_of_no_table_of_related_organisations(spark):
 
 def test_shares_are_dealt_once(spark):
     """Parts and totals are summed where a key's rows are, so no part of a key is dealt again."""
-    rows = spark.range(3000).select((F.col("id") % 700).alias("ein"), (F.col("id") % 3 + 2000).alias("tax_year"), F.col("id").alias("recipient"), F.lit(0.126).alias("cash"))
+    rows = spark.range(3000).select((F.col("id") % 700).alias("ein"), (F.col("id") % 3 + 2000).alias("tax_year"), (F.col("id") * 7).alias("recipient"), F.lit(0.126).alias("cash"))
     out = aggs.concentration(rows, ["ein", "tax_year"], "recipient", "cash")
     n, shuffled = rows_shuffled(spark, out)
     assert n == 2100 and shuffled <= 3000
+    plan = aggs.concentration(rows, ["ein", "tax_year"], "recipient", "cash")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
     rounded = aggs.concentration(rows, ["ein"], "recipient", "cash", places=2).where("ein = 0").first()
     assert (round(rounded.total, 6), rounded.largest, rounded.n_parts) == (0.65, 0.13, 5)
