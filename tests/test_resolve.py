@@ -81,3 +81,20 @@ def test_transport(spark):
     repaired = spark.createDataFrame([(1, "0", 2), (1, "a", 1), (2, "7", 1)], "filing_id int, payload string, n int")
     rule = spark.createDataFrame([("null", "0")], "source_payload string, repaired_payload string")
     assert {r.filing_id: r.explained for r in transport.transform_explained(source, repaired, rule).collect()} == {1: True, 2: False}
+
+
+def test_a_key_that_many_identities_have_is_told_whole(spark):
+    keys = "reported_ein string, name string, address string, city string, state string, zip5 string"
+    identities = spark.range(300).select(
+        F.col("id").alias("identity_id"), F.lit(1).alias("source_rank"), F.lit(2000).alias("tax_year"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("ein"), F.lit("TWIN").alias("name"),
+        *(F.lit(None).cast("string").alias(c) for c in ("address", "city")), F.when(F.col("id") < 200, "NY").alias("state"), F.when(F.col("id") < 90, "10001").alias("zip5"),
+    )
+    s = spark.createDataFrame([("s1", "e250", "TWIN", None, None, "NY", "10001"), ("s2", None, "TWIN", None, None, None, None), ("s3", None, "ALONE", None, None, None, None)], "signature string, " + keys)
+    assert resolve.lookups(s, identities).where("signature = 's2'").count() == 75  # the limit of a key, which the rows below don't have
+    rows = resolve.postings(s, identities).cache()
+    mine, theirs = rows.where("side = 'signature'"), rows.where("side = 'identity'")
+    pairs = mine.alias("a").join(theirs.alias("b"), ["lookup", "key"]).select(F.col("a.id").alias("signature"), F.col("b.id").cast("long").alias("identity_id")).distinct()
+    assert {(r.signature, r.identity_id) for r in pairs.collect()} == {(k, n) for k in ("s1", "s2") for n in range(300)}
+    assert {(r.id, r.lookup, r.n) for r in mine.collect()} == {("s1", 1, 1), ("s1", 4, 90), ("s1", 8, 200), ("s1", 9, 300), ("s2", 9, 300)}
+    assert {(r.lookup, r.n) for r in theirs.collect()} == {(1, 1), (4, 1), (8, 1), (9, 2)}
+    rows.unpersist()
