@@ -139,3 +139,17 @@ def test_shares_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     rounded = aggs.concentration(rows, ["ein"], "recipient", "cash", places=2).where("ein = 0").first()
     assert (round(rounded.total, 6), rounded.largest, rounded.n_parts) == (0.65, 0.13, 5)
+
+
+def test_matched_pairs_are_not_shuffled(spark, monkeypatch):
+    """A name's unions and filers meet once, in blocks, and what a pair is judged by comes with them."""
+    orgs, candidates, overrides = same_name(spark, 300)
+    out = union_match.matched(orgs, candidates, overrides)
+    n, shuffled = rows_shuffled(spark, out)
+    assert n == 300 * 300 + 2 and shuffled < 10_000
+    status = {(r.match_status, r.manual_override_status): r["count"] for r in out.groupBy("match_status", "manual_override_status").count().collect()}
+    assert status == {("MATCHED_HIGH_CONFIDENCE", None): 8, ("CANDIDATE_REVIEW", None): 300 * 300 - 9, ("REJECTED_MANUAL", "reject"): 1, ("UNMATCHED", "unmatch"): 1, ("MATCHED_MANUAL", "accept"): 1}
+    for name, value in (("SHEAF", 7), ("UNIONS", 50), ("FILERS", 40)):
+        monkeypatch.setattr(union_match, name, value)
+    many = union_match.matched(orgs, candidates, overrides)
+    assert many.exceptAll(out).count() == out.exceptAll(many).count() == 0
